@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_snapshots
+from . import q_scoring, q_snapshots
 
-_MODULES = [q_snapshots]
-FLAGSHIP = "margin_snapshots"
+_MODULES = [q_snapshots, q_scoring]
+FLAGSHIP = "policy_summary"
 
 
 def queries() -> dict:
