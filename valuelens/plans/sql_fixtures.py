@@ -93,7 +93,22 @@ def values_dates(dates: list[str], cast: str = "DATE") -> str:
 
 
 def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    seen, uniq = set(), []
+    for c in ctes:
+        if c not in seen:
+            seen.add(c)
+            uniq.append(c)
+    return "WITH " + ",\n".join(uniq) + "\n" + body
+
+
+def renamed(ctes: list[str], prefix: str, new_prefix: str, names: list[str]) -> list[str]:
+    """Copy of CTE definitions with the given CTE names re-prefixed (shared fixtures kept)."""
+    out = []
+    for c in ctes:
+        for n in names:
+            c = c.replace(prefix + n, new_prefix + n)
+        out.append(c)
+    return out
 
 
 def round_cols(sql: str, cols: list[str], digits: int = 6) -> str:
