@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_contract, q_scoring, q_snapshots
+from . import q_contract, q_resampling, q_scoring, q_snapshots
 
-_MODULES = [q_snapshots, q_scoring, q_contract]
+_MODULES = [q_snapshots, q_scoring, q_contract, q_resampling]
 FLAGSHIP = "policy_summary"
 
 
