@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_contract, q_resampling, q_scoring, q_snapshots
+from . import q_contract, q_models, q_resampling, q_scoring, q_snapshots
 
-_MODULES = [q_snapshots, q_scoring, q_contract, q_resampling]
+_MODULES = [q_snapshots, q_scoring, q_contract, q_resampling, q_models]
 FLAGSHIP = "policy_summary"
 
 
