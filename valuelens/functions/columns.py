@@ -25,9 +25,13 @@ def safe_ratio(num: str | Column, den: str | Column, default: float = 0.0) -> Co
                       F.lit(default))
 
 
+# Fixed value: the whitespace set of Python's str.strip for ASCII text.
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip_whitespace(c: str | Column) -> Column:
-    """Trim every kind of leading/trailing whitespace (``trim`` strips spaces only)."""
-    return F.regexp_replace(col_of(c), r"^\s+|\s+$", "")
+    """Trim every kind of leading/trailing ASCII whitespace (``trim`` strips spaces only)."""
+    return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
 def is_close_to_integer(x: str | Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

@@ -95,8 +95,6 @@ def _snapshot_aggregates(transactions: DataFrame, dates, L: int, H: int,
     future = f"(invoice_date >= {snap} AND invoice_date < CAST(date_add(snapshot_date, {H}) AS TIMESTAMP_NTZ))"
     aggs = [
         F.expr(f"min(invoice_date) FILTER (WHERE {bucket} AND {positive})").alias("_first_pos"),
-        F.expr(f"max(struct(invoice_date, invoice_id, stock_code, country)) FILTER (WHERE {bucket})")
-        .alias("_latest"),
     ]
     if features:
         def pos_age(d: int) -> str:
@@ -125,7 +123,26 @@ def _snapshot_aggregates(transactions: DataFrame, dates, L: int, H: int,
             F.expr(f"sum(signed_revenue) FILTER (WHERE {future})").alias("_future_value"),
             F.expr(f"count(1) FILTER (WHERE {future})").alias("_future_lines"),
         ]
-    return routed.groupBy("customer_id", "snapshot_date").agg(*aggs)
+    main = routed.groupBy("customer_id", "snapshot_date").agg(*aggs)
+    return main.join(_latest_per_bucket(transactions, dates), ["customer_id", "snapshot_date"], "left")
+
+
+def _latest_per_bucket(transactions: DataFrame, dates) -> DataFrame:
+    """Latest line per (customer, as-of bucket), ties broken by (invoice, stock, country).
+
+    Kept apart from the main aggregation: a max over a struct has no fixed-width
+    buffer and would push every aggregate onto the sort-based path.  Each line
+    belongs to exactly one bucket, so this pass reads every line once.
+    """
+    t = F.col("invoice_date")
+    bucket = F.lit(None).cast("date")
+    for d in reversed(dates):
+        bucket = F.when(t < F.lit(d.isoformat()).cast("date").cast("timestamp_ntz"),
+                        F.lit(d.isoformat()).cast("date")).otherwise(bucket)
+    return (transactions.select("customer_id", bucket.alias("snapshot_date"),
+                                F.struct("invoice_date", "invoice_id", "stock_code", "country").alias("_k"))
+            .filter(F.col("snapshot_date").isNotNull())
+            .groupBy("customer_id", "snapshot_date").agg(F.max("_k").alias("_latest")))
 
 
 def _roll_forward(agg: DataFrame, dates, carried: list[str]) -> DataFrame:

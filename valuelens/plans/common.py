@@ -31,8 +31,8 @@ def fx_orders(spark: SparkSession, sf: str) -> DataFrame:
     return tables.orders_fixture(spark, sf)
 
 
-def fx_customers(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.customers_fixture(spark, sf)
+def fx_customers(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
+    return tables.customers_fixture(spark, sf, orders)
 
 
 def fx_transactions(spark: SparkSession, sf: str) -> DataFrame:

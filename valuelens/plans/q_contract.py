@@ -69,7 +69,7 @@ def lookback_gate(spark, sf):
 
 
 def _margin(spark, sf, dates=None):
-    return round_doubles(sm.margin_snapshots(fx_customers(spark, sf), fx_orders(spark, sf), dates or MARGIN_DATES,
+    return round_doubles(sm.margin_snapshots(fx_customers(spark, sf, fx_orders(spark, sf)), fx_orders(spark, sf), dates or MARGIN_DATES,
                                              LOOKBACK_DAYS, HORIZON_DAYS, DISCOUNT_RATE))
 
 
@@ -86,7 +86,7 @@ def snapshot_checks_revenue(spark, sf):
 
 
 def key_uniqueness(spark, sf):
-    c, o = fx_customers(spark, sf), fx_orders(spark, sf)
+    c, o = fx_customers(spark, sf, fx_orders(spark, sf)), fx_orders(spark, sf)
     f = sm.margin_features(c, o, MARGIN_DATES, LOOKBACK_DAYS)
     lab = sm.margin_labels(c, o, MARGIN_DATES, HORIZON_DAYS, DISCOUNT_RATE)
     keys = ["customer_id", "snapshot_date"]

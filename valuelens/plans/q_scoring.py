@@ -20,7 +20,7 @@ KEYS = ["customer_id", "snapshot_date"]
 
 def _snapshots(spark, sf, path, dates):
     if path == "margin":
-        return sm.margin_snapshots(fx_customers(spark, sf), fx_orders(spark, sf), dates,
+        return sm.margin_snapshots(fx_customers(spark, sf, fx_orders(spark, sf)), fx_orders(spark, sf), dates,
                                    LOOKBACK_DAYS, HORIZON_DAYS, DISCOUNT_RATE)
     return sr.revenue_snapshots(fx_transactions(spark, sf), dates, LOOKBACK_DAYS, HORIZON_DAYS)
 

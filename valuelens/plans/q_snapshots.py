@@ -15,23 +15,24 @@ from .common import (
 
 def margin_snapshots(spark, sf):
     orders = fx_orders(spark, sf)
-    customers = fx_customers(spark, sf)
+    customers = fx_customers(spark, sf, orders)
     return round_doubles(sm.margin_snapshots(customers, orders, MARGIN_DATES, LOOKBACK_DAYS,
                                              HORIZON_DAYS, DISCOUNT_RATE))
 
 
 def margin_features(spark, sf):
-    return round_doubles(sm.margin_features(fx_customers(spark, sf), fx_orders(spark, sf),
-                                            MARGIN_DATES, LOOKBACK_DAYS))
+    o = fx_orders(spark, sf)
+    return round_doubles(sm.margin_features(fx_customers(spark, sf, o), o, MARGIN_DATES, LOOKBACK_DAYS))
 
 
 def margin_labels(spark, sf):
-    return round_doubles(sm.margin_labels(fx_customers(spark, sf), fx_orders(spark, sf),
-                                          MARGIN_DATES, HORIZON_DAYS, DISCOUNT_RATE))
+    o = fx_orders(spark, sf)
+    return round_doubles(sm.margin_labels(fx_customers(spark, sf, o), o, MARGIN_DATES, HORIZON_DAYS, DISCOUNT_RATE))
 
 
 def margin_snapshots_joined(spark, sf):
-    return round_doubles(sm.margin_snapshots_by_join(fx_customers(spark, sf), fx_orders(spark, sf),
+    o = fx_orders(spark, sf)
+    return round_doubles(sm.margin_snapshots_by_join(fx_customers(spark, sf, o), o,
                                                      MARGIN_DATES, LOOKBACK_DAYS, HORIZON_DAYS,
                                                      DISCOUNT_RATE))
 

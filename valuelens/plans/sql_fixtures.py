@@ -67,10 +67,10 @@ FX_RAW = """fx_raw_base AS (
          CAST(l.l_partkey AS VARCHAR) AS "StockCode",
          'part ' || CAST(l.l_partkey AS VARCHAR) AS "Description",
          CASE WHEN l.l_orderkey % 31 = 0 THEN 'abc'
-              ELSE printf('%.1f', CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END) END AS "Quantity",
+              ELSE CAST(CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END AS VARCHAR) END AS "Quantity",
          CASE WHEN l.l_orderkey % 37 = 0 THEN 'not a date'
               ELSE strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') END AS "InvoiceDate",
-         CASE WHEN l.l_orderkey % 29 = 0 THEN '0' ELSE printf('%.2f', p.p_retailprice) END AS "Price",
+         CASE WHEN l.l_orderkey % 29 = 0 THEN '0' ELSE CAST(p.p_retailprice AS VARCHAR) END AS "Price",
          CASE WHEN l.l_orderkey % 23 = 0 THEN NULL ELSE CAST(o.o_custkey AS VARCHAR) || '.0' END AS "Customer ID",
          n.n_name AS "Country",
          CASE WHEN o.o_orderdate < TIMESTAMP '1998-01-01' THEN 'early' ELSE 'late' END AS source_sheet

@@ -11,16 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import balanced
+
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
+FACT_TABLES = ("lineitem",)
+
+
+_READ_CACHE: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet reader; the (immutable) DataFrame is reused per session and path so
+    footers and file listings are read once per process, not once per query."""
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    df = _READ_CACHE.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        df = balanced(df) if name in FACT_TABLES else df
+        _READ_CACHE[key] = df
+    return df
 
 
 def orders_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,24 +156,24 @@ def raw_lines_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     invoice = F.col("l_orderkey").cast("string")
     invoice = F.when(k % 41 == 0, F.concat(F.lit("  "), invoice, F.lit(" "))) \
         .when(k % 43 == 0, F.concat(F.lit("C"), invoice)).otherwise(invoice)
-    sheet = F.when(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"), F.lit("early")) \
-        .otherwise(F.lit("late"))
-    base = lines.select(
-        k.alias("_key"),
+    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    sheet = F.when(early, F.lit("early")).otherwise(F.lit("late"))
+    other = F.when(early, F.lit("late")).otherwise(F.lit("early"))
+    # every line once; %50 lines a second time; %53 lines again under the other source
+    copies = F.filter(F.array(F.struct(F.lit(True).alias("keep"), sheet.alias("sheet")),
+                              F.struct((k % 50 == 0).alias("keep"), sheet.alias("sheet")),
+                              F.struct((k % 53 == 0).alias("keep"), other.alias("sheet"))),
+                      lambda x: x["keep"])
+    return lines.select(
         invoice.alias("Invoice"),
         F.col("l_partkey").cast("string").alias("StockCode"),
         F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("Description"),
-        F.when(k % 31 == 0, F.lit("abc")).otherwise(F.format_string("%.1f", qty)).alias("Quantity"),
+        F.when(k % 31 == 0, F.lit("abc")).otherwise(qty.cast("string")).alias("Quantity"),
         F.when(k % 37 == 0, F.lit("not a date"))
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("InvoiceDate"),
-        F.when(k % 29 == 0, F.lit("0")).otherwise(F.format_string("%.2f", F.col("p_retailprice")))
-        .alias("Price"),
+        F.when(k % 29 == 0, F.lit("0")).otherwise(F.col("p_retailprice").cast("string")).alias("Price"),
         F.when(k % 23 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))).alias("Customer ID"),
         F.col("n_name").alias("Country"),
-        sheet.alias("source_sheet"),
-    )
-    dup = base.filter(F.col("_key") % 50 == 0)
-    other = base.filter(F.col("_key") % 53 == 0).withColumn(
-        "source_sheet", F.when(F.col("source_sheet") == "early", "late").otherwise("early"))
-    return base.unionByName(dup).unionByName(other).drop("_key")
+        F.explode(copies).alias("_copy"),
+    ).withColumn("source_sheet", F.col("_copy.sheet")).drop("_copy")
