@@ -70,3 +70,12 @@ def test_permutation_importance_detects_used_feature(spark):
     out = {r["feature"]: r["wape_increase"] for r in imp.permutation_importance(
         df, ["c", "x", "z"], ["c"], "y", imp.expression_scorer(F.col("x") * 3 + 1), ["k"], seed=5).collect()}
     assert out["x"] > 0.5 and out["z"] == 0.0 and out["c"] == 0.0
+
+
+def test_bootstrap_blocked_path_equals_single_block_path(spark):
+    df = _frame(spark)
+    one = {r["metric"]: r for r in bs.paired_bootstrap(df, "y", "m", "b", ["k"], 20, 3).collect()}
+    blocked = {r["metric"]: r for r in bs.paired_bootstrap(df, "y", "m", "b", ["k"], 20, 3, block_rows=7).collect()}
+    for m in one:
+        for f in ("estimate", "ci_lower", "ci_upper", "probability_model_better"):
+            assert one[m][f] == pytest.approx(blocked[m][f], abs=1e-12)

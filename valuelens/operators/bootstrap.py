@@ -58,6 +58,24 @@ def _avg_rank_by_value(df: DataFrame, value: str, running: str, descending: bool
     return df.join(ranks, ["it", value], "inner")
 
 
+def _weights_single_block(weighted: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
+    """All n positions fit in one block (n <= block_rows): every running sum and
+    tie-averaged rank is a window over the iteration, sharing one exchange."""
+    def frame(order, lo, hi, range_frame=False):
+        w = Window.partitionBy("it").orderBy(*order)
+        return w.rangeBetween(lo, hi) if range_frame else w.rowsBetween(lo, hi)
+    unb, cur = Window.unboundedPreceding, Window.currentRow
+    out = weighted
+    for col, desc, run, rank in (("y", False, "cy", "ry"), ("m", True, "cm", "rm"), ("b", True, "cb", "rb")):
+        order_v = [F.col(col).desc() if desc else F.col(col)]
+        upto = F.sum("w").over(frame(order_v, unb, cur, True))      # W(<= v) in this direction
+        eq = F.sum("w").over(frame(order_v, cur, cur, True))        # W(= v)
+        lt = (n - upto) if desc else (upto - eq)                     # W(< v) ascending
+        out = out.withColumn(rank, lt + (eq + F.lit(1)) / F.lit(2.0))
+        out = out.withColumn(run, F.sum("w").over(frame([*order_v, *[F.col(k) for k in keys]], unb, cur)))
+    return out
+
+
 def _weighted_pearson(x: str, y: str, n: Column) -> Column:
     w = F.col("w").cast("double")
     sx, sy = F.sum(w * F.col(x)), F.sum(w * F.col(y))
@@ -80,11 +98,7 @@ def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_
     keys = list(key_cols)
     base = df.select(*keys, F.col(actual).cast("double").alias("y"), F.col(model).cast("double").alias("m"),
                      F.col(baseline).cast("double").alias("b"))
-    # positions: row id (key order), y ascending, model/baseline descending
-    rows = global_rank(base, keys, "_rid")
-    rows = global_rank(rows, ["y", *keys], "pos_y")
-    rows = global_rank(rows, [F.col("m").desc(), *keys], "pos_m")
-    rows = global_rank(rows, [F.col("b").desc(), *keys], "pos_b")
+    rows = global_rank(base, keys, "_rid")          # dense row ids for the draws
     n_rows = rows.count()          # one scalar: sizes the draw range
     if n_rows == 0:
         raise ValueError("Bootstrap inputs must be non-empty")
@@ -97,14 +111,20 @@ def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_
              .select("it", (F.pmod(hash_index(F.lit(int(seed)), "it", "draw"), F.lit(n_rows)) + 1).alias("_rid"))
              .groupBy("it", "_rid").agg(F.count(F.lit(1)).alias("w")))
     unit = rows.select(F.lit(-1).cast("bigint").alias("it"), "_rid", F.lit(1).cast("bigint").alias("w"))
-    weighted = draws.unionByName(unit).join(rows, "_rid", "inner")
     n = F.lit(float(n_rows))
-    weighted = _running_weight(weighted, "pos_y", "cy", block_rows)
-    weighted = _running_weight(weighted, "pos_m", "cm", block_rows)
-    weighted = _running_weight(weighted, "pos_b", "cb", block_rows)
-    weighted = _avg_rank_by_value(weighted, "y", "cy", False, "ry", n)
-    weighted = _avg_rank_by_value(weighted, "m", "cm", True, "rm", n)
-    weighted = _avg_rank_by_value(weighted, "b", "cb", True, "rb", n)
+    if n_rows <= block_rows:
+        weighted = _weights_single_block(draws.unionByName(unit).join(rows, "_rid", "inner"), keys, n)
+    else:
+        rows = global_rank(rows, ["y", *keys], "pos_y")
+        rows = global_rank(rows, [F.col("m").desc(), *keys], "pos_m")
+        rows = global_rank(rows, [F.col("b").desc(), *keys], "pos_b")
+        weighted = draws.unionByName(unit).join(rows, "_rid", "inner")
+        weighted = _running_weight(weighted, "pos_y", "cy", block_rows)
+        weighted = _running_weight(weighted, "pos_m", "cm", block_rows)
+        weighted = _running_weight(weighted, "pos_b", "cb", block_rows)
+        weighted = _avg_rank_by_value(weighted, "y", "cy", False, "ry", n)
+        weighted = _avg_rank_by_value(weighted, "m", "cm", True, "rm", n)
+        weighted = _avg_rank_by_value(weighted, "b", "cb", True, "rb", n)
 
     def capture(c_col: str, f: float) -> Column:
         k = F.greatest(F.lit(1.0), F.ceil(n * F.lit(float(f))).cast("double"))

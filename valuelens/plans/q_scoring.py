@@ -8,6 +8,7 @@ from ..operators import conformal, evaluation as ev, policy as pol
 from ..operators import snapshots_margin as sm
 from ..operators import snapshots_revenue as sr
 from ..operators.scoring import MARGIN_NAMES, REVENUE_NAMES, closed_form_scores
+from ..session import materialize
 from . import sql_fixtures as S
 from . import sql_scoring as Q
 from .common import (
@@ -34,8 +35,12 @@ def _dates(path):
 
 
 def scored_env(spark, sf, path="margin"):
-    """Both calibration and test dates, closed-form scores with raw intervals."""
-    return closed_form_scores(_snapshots(spark, sf, path, list(_dates(path))), path)
+    """Both calibration and test dates, closed-form scores with raw intervals.
+
+    Written once under the shared checkpoint folder: conformal calibration, the
+    test frame and every metric read it instead of re-running the snapshot plan.
+    """
+    return materialize(closed_form_scores(_snapshots(spark, sf, path, list(_dates(path))), path), f"scores-{path}")
 
 
 def correction_frame(spark, sf, path="margin", env=None):
@@ -54,8 +59,8 @@ def scored_test(spark, sf, path="margin"):
     test = env.filter(F.col("snapshot_date") == F.lit(_dates(path)[1]).cast("date"))
     lo, hi = conformal.apply_correction(F.col(n["pred"]), F.col(n["lower_raw"]), F.col(n["upper_raw"]),
                                         F.col("correction"))
-    return test.crossJoin(F.broadcast(corr)).withColumn(n["lower"], lo).withColumn(n["upper"], hi) \
-        .drop("correction")
+    return materialize(test.crossJoin(F.broadcast(corr)).withColumn(n["lower"], lo).withColumn(n["upper"], hi)
+                       .drop("correction"), f"test-{path}")
 
 
 # ---------------------------------------------------------------- queries
