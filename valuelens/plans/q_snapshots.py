@@ -60,6 +60,13 @@ def latest_country(spark, sf):
         .select("customer_id", "snapshot_date", "country")
 
 
+def margin_snapshots_sql(spark, sf):
+    from ..operators.snapshots_sql import margin_snapshots_sql as build
+    o = fx_orders(spark, sf)
+    return round_doubles(build(fx_customers(spark, sf, o), o, MARGIN_DATES, LOOKBACK_DAYS, HORIZON_DAYS,
+                               DISCOUNT_RATE))
+
+
 def margin_orders(spark, sf):
     return round_doubles(fx_orders(spark, sf))
 
@@ -75,6 +82,7 @@ QUERIES = {
     "margin_features": margin_features,
     "margin_labels": margin_labels,
     "margin_snapshots_joined": margin_snapshots_joined,
+    "margin_snapshots_sql": margin_snapshots_sql,
     "revenue_snapshots": revenue_snapshots,
     "revenue_features": revenue_features,
     "revenue_labels": revenue_labels,
@@ -100,6 +108,7 @@ SQL = {
     "margin_customers": S.with_ctes(S.FX_ORD, S.FX_CUST, body="SELECT * FROM fx_cust"),
     "margin_snapshots": _rd(S.with_ctes(*_M, body="SELECT * FROM m_snap"), S.MARGIN_DOUBLE_COLS),
     "margin_snapshots_joined": _rd(S.with_ctes(*_M, body="SELECT * FROM m_snap"), S.MARGIN_DOUBLE_COLS),
+    "margin_snapshots_sql": _rd(S.with_ctes(*_M, body="SELECT * FROM m_snap"), S.MARGIN_DOUBLE_COLS),
     "margin_features": _rd(S.with_ctes(*_M, body=f"SELECT {_MF} FROM m_snap"),
                            [c for c in S.MARGIN_DOUBLE_COLS if c in S.MARGIN_FEATURE_COLS]),
     "margin_labels": _rd(S.with_ctes(*_M, body=f"SELECT {_ML} FROM m_snap"),

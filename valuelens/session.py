@@ -69,6 +69,17 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cleanup_materialized(spark: SparkSession) -> None:
+    """Delete the stages written by ``materialize`` (call once no DataFrame built from
+    them is needed any more, e.g. at the end of a job or bench run)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/valuelens"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Partition count for explicit range partitioning (never merged by AQE)."""
     try:
