@@ -107,9 +107,22 @@ def portfolio_checks(df: DataFrame, actual: str, pred: str) -> DataFrame:
     )
 
 
+def value_ranks(df: DataFrame, value: str, key_cols: Sequence[str], out_col: str) -> DataFrame:
+    """(value, tie-averaged ascending rank) per distinct value; one global sort."""
+    ranked = global_rank(df.select(value, *key_cols), [value, *key_cols], "_vr")
+    return ranked.groupBy(value).agg(((F.min("_vr") + F.max("_vr")) / F.lit(2.0)).alias(out_col))
+
+
 def regression_metrics(df: DataFrame, actual: str, pred: str, key_cols: Sequence[str],
-                       lower: str | None = None, upper: str | None = None) -> DataFrame:
-    """One row: mae, wape, rmse, spearman, top-10/20 capture [, coverage, width]."""
+                       lower: str | None = None, upper: str | None = None,
+                       actual_ranks: DataFrame | None = None) -> DataFrame:
+    """One row: mae, wape, rmse, spearman, top-10/20 capture [, coverage, width].
+
+    One global sort by score (descending, key tiebreak) serves both the top-k
+    capture and the score's tie-averaged ranks (ascending average rank of a value
+    = n + 1 - its average descending rank).  ``actual_ranks`` (from
+    ``value_ranks``) can be shared between scorers evaluated on the same rows.
+    """
     ranked = with_count(rank_desc(df, pred, key_cols))
     y, p = F.col(actual), F.col(pred)
     cols = [
@@ -123,8 +136,14 @@ def regression_metrics(df: DataFrame, actual: str, pred: str, key_cols: Sequence
         covered = ((y >= F.col(lower)) & (y <= F.col(upper))).cast("double")
         cols += [F.avg(covered).alias("interval_80_coverage"),
                  F.avg(F.col(upper) - F.col(lower)).alias("interval_mean_width")]
-    main = ranked.agg(*cols)
-    return main.crossJoin(spearman(df, actual, pred, key_cols))
+    score_ranks = ranked.groupBy(pred).agg(
+        (F.first("_n") + F.lit(1) - (F.min("_rank") + F.max("_rank")) / F.lit(2.0)).alias("_rp"))
+    yr = actual_ranks if actual_ranks is not None else value_ranks(df, actual, key_cols, "_ry")
+    yr = yr.withColumnRenamed(yr.columns[1], "_ry")
+    both = ranked.join(score_ranks, pred, "inner").join(yr, actual, "inner")
+    cols += [F.when(F.min(y) == F.max(y), F.lit(0.0)).when(F.min(p) == F.max(p), F.lit(0.0))
+             .otherwise(pearson_expr(F.col("_ry"), F.col("_rp"))).alias("spearman")]
+    return both.agg(*cols)
 
 
 def to_long(wide: DataFrame, group: str | None = None, group_col: str = "scorer") -> DataFrame:

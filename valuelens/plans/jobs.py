@@ -104,14 +104,16 @@ def _model_stage(snapshots: DataFrame, names, categorical, numeric, selection, c
 
 
 def _evaluate(scored: DataFrame, names) -> dict:
-    model = _first_row(ev.regression_metrics(scored, names["actual"], names["pred"], KEYS, names["lower"], names["upper"]))
+    yr = ev.value_ranks(scored, names["actual"], KEYS, "_ry")
+    model = _first_row(ev.regression_metrics(scored, names["actual"], names["pred"], KEYS, names["lower"],
+                                             names["upper"], yr))
     raw = _first_row(ev.interval_coverage(scored, names["actual"], names["lower_raw"], names["upper_raw"], "raw"))
     model["interval_80_raw_coverage"] = raw["raw_80_coverage"]
     model["interval_raw_mean_width"] = raw["raw_mean_width"]
     model.update(_first_row(ev.average_precision(scored, names["active"], names["prob"])))
     model.update(_first_row(ev.brier(scored, names["active"], names["prob"])))
     model.update(_first_row(ev.portfolio_checks(scored, names["actual"], names["pred"])))
-    base = _first_row(ev.regression_metrics(scored, names["actual"], names["baseline"], KEYS))
+    base = _first_row(ev.regression_metrics(scored, names["actual"], names["baseline"], KEYS, actual_ranks=yr))
     return {"model": model, "baseline": base}
 
 

@@ -110,14 +110,15 @@ portfolio_checks = _metric_query(lambda d, n: ev.portfolio_checks(d, n["actual"]
 
 
 def _full_evaluation(d, n):
-    model = ev.regression_metrics(d, n["actual"], n["pred"], KEYS, n["lower"], n["upper"])
+    yr = ev.value_ranks(d, n["actual"], KEYS, "_ry")
+    model = ev.regression_metrics(d, n["actual"], n["pred"], KEYS, n["lower"], n["upper"], yr)
     raw = ev.interval_coverage(d, n["actual"], n["lower_raw"], n["upper_raw"], "raw") \
         .withColumnRenamed("raw_80_coverage", "interval_80_raw_coverage") \
         .withColumnRenamed("raw_mean_width", "interval_raw_mean_width")
     act = ev.average_precision(d, n["active"], n["prob"]).crossJoin(ev.brier(d, n["active"], n["prob"]))
     port = ev.portfolio_checks(d, n["actual"], n["pred"])
     model_all = model.crossJoin(raw).crossJoin(act).crossJoin(port)
-    base = ev.regression_metrics(d, n["actual"], n["baseline"], KEYS)
+    base = ev.regression_metrics(d, n["actual"], n["baseline"], KEYS, actual_ranks=yr)
     return ev.to_long(model_all, "model").unionByName(ev.to_long(base, "baseline"))
 
 
