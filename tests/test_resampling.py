@@ -35,7 +35,7 @@ def test_bootstrap_matches_numpy_weighted_resamples(spark):
     """Recompute every iteration with NumPy from the same hashed draws."""
     df = _frame(spark)
     n, B, seed = 40, 30, 11
-    got = {r["metric"]: r for r in bs.paired_bootstrap(df, "y", "m", "b", ["k"], B, seed).collect()}
+    got = {r["metric"]: r for r in bs.paired_bootstrap(df, "y", "m", "b", ["k"], B, seed, draw_hash="md5").collect()}
     draws = spark.range(0, B * n).select(F.expr(f"id div {n}").alias("it"), (F.col("id") % n).alias("d")) \
         .select("it", (F.pmod(hash_index(F.lit(seed), "it", "d"), F.lit(n))).alias("idx")).collect()
     y = np.arange(1, 41, dtype=float)

@@ -1,8 +1,8 @@
 """Paired bootstrap comparison of a model score against a baseline (G11).
 
 Per iteration ``it`` (0..B-1) n draws with replacement pick row
-``hash(seed, it, draw) mod n`` (md5-based, so an SQL engine can reproduce the
-resamples).  The draws are aggregated into multiplicities w(it, row); every
+``hash(seed, it, draw) mod n`` (xxhash64 by default; md5 on request so that an
+SQL engine can reproduce the resamples).  The draws are aggregated into multiplicities w(it, row); every
 metric is then a *weighted* statistic over the drawn rows:
 
   WAPE        Σw|y-s| / Σw|y|
@@ -32,6 +32,12 @@ from .ranking import global_rank
 METRICS = ["spearman_difference", "top_10_capture_difference", "top_20_capture_difference", "wape_difference"]
 
 
+def _draw_hash(kind: str, seed: int) -> Column:
+    if kind == "md5":
+        return hash_index(F.lit(seed), "it", "draw")
+    return F.xxhash64(F.lit(seed), "it", "draw")
+
+
 def _running_weight(df: DataFrame, pos: str, out: str, block_rows: int) -> DataFrame:
     """Inclusive running Σw per iteration along ``pos`` (1-based global position)."""
     blk = f"_blk_{out}"
@@ -60,19 +66,25 @@ def _avg_rank_by_value(df: DataFrame, value: str, running: str, descending: bool
 
 def _weights_single_block(weighted: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
     """All n positions fit in one block (n <= block_rows): every running sum and
-    tie-averaged rank is a window over the iteration, sharing one exchange."""
+    tie-averaged rank is a window over the iteration, sharing one exchange.
+
+    For each score the ROWS window ordered by (score, key) runs first; the RANGE
+    windows ordered by the score alone then reuse its sort (a prefix ordering),
+    so each score costs one sort.
+    """
     def frame(order, lo, hi, range_frame=False):
         w = Window.partitionBy("it").orderBy(*order)
         return w.rangeBetween(lo, hi) if range_frame else w.rowsBetween(lo, hi)
     unb, cur = Window.unboundedPreceding, Window.currentRow
     out = weighted
-    for col, desc, run, rank in (("y", False, "cy", "ry"), ("m", True, "cm", "rm"), ("b", True, "cb", "rb")):
+    for col, desc, run, rank in (("y", False, None, "ry"), ("m", True, "cm", "rm"), ("b", True, "cb", "rb")):
         order_v = [F.col(col).desc() if desc else F.col(col)]
+        if run:
+            out = out.withColumn(run, F.sum("w").over(frame([*order_v, *[F.col(k) for k in keys]], unb, cur)))
         upto = F.sum("w").over(frame(order_v, unb, cur, True))      # W(<= v) in this direction
         eq = F.sum("w").over(frame(order_v, cur, cur, True))        # W(= v)
         lt = (n - upto) if desc else (upto - eq)                     # W(< v) ascending
         out = out.withColumn(rank, lt + (eq + F.lit(1)) / F.lit(2.0))
-        out = out.withColumn(run, F.sum("w").over(frame([*order_v, *[F.col(k) for k in keys]], unb, cur)))
     return out
 
 
@@ -87,9 +99,14 @@ def _weighted_pearson(x: str, y: str, n: Column) -> Column:
 
 def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_cols: Sequence[str],
                      iterations: int = 1000, seed: int = 42, confidence: float = 0.95,
-                     block_rows: int = 1 << 20) -> DataFrame:
+                     block_rows: int = 1 << 20, draw_hash: str = "xxhash64") -> DataFrame:
     """(metric, estimate, ci_lower, ci_upper, confidence, probability_model_better,
-    favorable_direction); differences are model - baseline."""
+    favorable_direction); differences are model - baseline.
+
+    ``draw_hash``: "xxhash64" (fast, default) or "md5" (slower; reproducible by an
+    SQL engine, used by the oracle-checked query)."""
+    if draw_hash not in ("xxhash64", "md5"):
+        raise ValueError("draw_hash must be 'xxhash64' or 'md5'")
     if int(iterations) < 1:
         raise ValueError("Bootstrap iterations must be positive")
     if not 0.0 < float(confidence) < 1.0:
@@ -108,7 +125,7 @@ def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_
     draws = (spark.range(0, total, numPartitions=parts)
              .select(F.expr(f"id div {n_rows}").alias("it"),
                      (F.col("id") % F.lit(n_rows)).alias("draw"))
-             .select("it", (F.pmod(hash_index(F.lit(int(seed)), "it", "draw"), F.lit(n_rows)) + 1).alias("_rid"))
+             .select("it", (F.pmod(_draw_hash(draw_hash, int(seed)), F.lit(n_rows)) + 1).alias("_rid"))
              .groupBy("it", "_rid").agg(F.count(F.lit(1)).alias("w")))
     unit = rows.select(F.lit(-1).cast("bigint").alias("it"), "_rid", F.lit(1).cast("bigint").alias("w"))
     n = F.lit(float(n_rows))

@@ -23,7 +23,7 @@ def bootstrap_comparison(spark, sf):
     n = REVENUE_NAMES
     d = scored_test(spark, sf, "revenue")
     return round_doubles(bs.paired_bootstrap(d, n["actual"], n["pred"], n["baseline"], KEYS,
-                                             BOOT_ITERATIONS, SEED, 0.95))
+                                             BOOT_ITERATIONS, SEED, 0.95, draw_hash="md5"))
 
 
 def _importance(spark, sf):
