@@ -49,8 +49,6 @@ def main() -> None:
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf_dir,
                       "cpus": cpus}))
-    from valuelens.session import cleanup_materialized
-    cleanup_materialized(spark)
     spark.stop()
 
 
