@@ -139,7 +139,9 @@ def _latest_per_bucket(transactions: DataFrame, dates) -> DataFrame:
     for d in reversed(dates):
         bucket = F.when(t < F.lit(d.isoformat()).cast("date").cast("timestamp_ntz"),
                         F.lit(d.isoformat()).cast("date")).otherwise(bucket)
-    return (transactions.select("customer_id", bucket.alias("snapshot_date"),
+    last = F.lit(dates[-1].isoformat()).cast("date").cast("timestamp_ntz")
+    return (transactions.filter(t < last)          # static bound: pushed to the scan
+            .select("customer_id", bucket.alias("snapshot_date"),
                                 F.struct("invoice_date", "invoice_id", "stock_code", "country").alias("_k"))
             .filter(F.col("snapshot_date").isNotNull())
             .groupBy("customer_id", "snapshot_date").agg(F.max("_k").alias("_latest")))
