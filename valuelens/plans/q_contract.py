@@ -185,13 +185,13 @@ c_canon AS (SELECT DISTINCT * FROM c_valid)"""
 _QUALITY = """q_report AS (
   SELECT s.*, c.*, s.source_rows - c.usable_rows AS excluded_rows FROM
   (SELECT count(*) AS source_rows,
-          count_if("Customer ID" IS NULL) AS missing_customer_rows,
-          count_if(TRY_CAST("InvoiceDate" AS TIMESTAMP) IS NULL) AS missing_invoice_date_rows,
-          count_if(COALESCE(TRY_CAST("Price" AS DOUBLE), 0) <= 0) AS nonpositive_price_rows,
-          count_if(COALESCE(TRY_CAST("Quantity" AS DOUBLE), 0) = 0) AS zero_quantity_rows,
+          CAST(count_if("Customer ID" IS NULL) AS BIGINT) AS missing_customer_rows,
+          CAST(count_if(TRY_CAST("InvoiceDate" AS TIMESTAMP) IS NULL) AS BIGINT) AS missing_invoice_date_rows,
+          CAST(count_if(COALESCE(TRY_CAST("Price" AS DOUBLE), 0) <= 0) AS BIGINT) AS nonpositive_price_rows,
+          CAST(count_if(COALESCE(TRY_CAST("Quantity" AS DOUBLE), 0) = 0) AS BIGINT) AS zero_quantity_rows,
           count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx_raw) d) AS exact_duplicate_rows
    FROM fx_raw) s,
-  (SELECT count(*) AS usable_rows, count_if(is_cancellation) AS cancellation_rows,
+  (SELECT count(*) AS usable_rows, CAST(count_if(is_cancellation) AS BIGINT) AS cancellation_rows,
           count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_id) AS invoices,
           min(invoice_date) AS date_min, max(invoice_date) AS date_max, count(DISTINCT country) AS countries
    FROM c_canon) c)"""
@@ -233,12 +233,12 @@ def _snapshot_checks_sql(ctes, table, cols, doubles, dates, binary=None):
     nulls = " + ".join(f"count_if({c} IS NULL)" for c in cols)
     nonfinite = " + ".join(f"count_if(isnan({c}) OR isinf({c}))" for c in doubles)
     dl = ", ".join(f"'{d}'" for d in dates)
-    extra = f", count_if({binary} NOT IN (0, 1)) AS nonbinary_active_rows" if binary else ""
+    extra = f", CAST(count_if({binary} NOT IN (0, 1)) AS BIGINT) AS nonbinary_active_rows" if binary else ""
     return S.with_ctes(*ctes, body=f"""SELECT count(*) AS rows,
   count(*) - count(DISTINCT (customer_id, snapshot_date)) AS duplicate_keys,
   CAST({nulls} AS BIGINT) AS null_values,
   count(DISTINCT snapshot_date) AS distinct_dates,
-  count_if(strftime(snapshot_date, '%Y-%m-%d') NOT IN ({dl})) AS unexpected_date_rows,
+  CAST(count_if(strftime(snapshot_date, '%Y-%m-%d') NOT IN ({dl})) AS BIGINT) AS unexpected_date_rows,
   CAST({nonfinite} AS BIGINT) AS nonfinite_values{extra},
   {len(dates)} - count(DISTINCT snapshot_date) AS missing_dates
 FROM {table}""")
@@ -301,12 +301,12 @@ def _sql_all():
     out["canonical_roundtrip"] = out["canonical_transactions"]
     out["quality_report"] = S.with_ctes(*_RAW, _QUALITY, body="SELECT * FROM q_report")
     dates = ", ".join(f"(DATE '{d}')" for d in REVENUE_DATES)
-    out["quality_audit"] = S.with_ctes(*_RAW, _QUALITY, body=f"""SELECT snapshot_date, available_history_days, {LOOKBACK_DAYS} AS required_days,
+    out["quality_audit"] = S.with_ctes(*_RAW, _QUALITY, body=f"""SELECT snapshot_date, available_history_days, CAST({LOOKBACK_DAYS} AS BIGINT) AS required_days,
   available_history_days >= {LOOKBACK_DAYS} AS complete, other_invalid_rows_excluded,
   min(available_history_days) OVER () AS minimum_available_days,
   bool_and(available_history_days >= {LOOKBACK_DAYS}) OVER () AS all_snapshots_complete
 FROM (SELECT d.snapshot_date, CAST(date_diff('day', CAST(q.date_min AS DATE), d.snapshot_date) AS BIGINT) AS available_history_days,
-             q.excluded_rows - q.missing_customer_rows AS other_invalid_rows_excluded
+             CAST(q.excluded_rows - q.missing_customer_rows AS BIGINT) AS other_invalid_rows_excluded
       FROM q_report q, (VALUES {dates}) d(snapshot_date)) z""")
     out["dedup_transactions"] = S.with_ctes(*_RAW, body="""SELECT a.source_sheet, a.valid_rows, b.distinct_rows, a.valid_rows - b.distinct_rows AS removed_duplicates
 FROM (SELECT source_sheet, count(*) AS valid_rows FROM c_valid GROUP BY source_sheet) a
