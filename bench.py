@@ -39,16 +39,24 @@ def main() -> None:
     qs = registry.queries()
     # warm-up: JVM, parquet footers, codegen caches
     qs["margin_orders"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times: dict[str, float] = {}
+    times: dict[str, float | None] = {}
+    failed: list[str] = []
     for name in names:
         t0 = time.perf_counter()
-        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as exc:  # noqa: BLE001 - report and keep measuring the others
+            times[name] = None
+            failed.append(name)
+            print(f"# {name} failed: {type(exc).__name__}: {str(exc)[:300]}", file=sys.stderr)
+            continue
         print(f"# {name}: {times[name]:.2f}s", file=sys.stderr)
     sf = os.path.basename(sf_dir).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
+    total = round(sum(v for v in times.values() if v is not None), 3)
+    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf_dir,
-                      "cpus": cpus}))
+                      "cpus": cpus, "failed": failed}))
     spark.stop()
 
 
