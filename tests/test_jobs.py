@@ -41,6 +41,9 @@ def test_margin_job_invariants(spark, tmp_path):
     imp = r.tables["importance"].collect()
     assert len(imp) == 22 and all(row["wape_increase"] >= 0 for row in imp)
     assert os.path.exists(tmp_path / "out" / "model_metadata.json")
+    import json
+    doc = json.loads((tmp_path / "out" / "metrics.json").read_text())
+    assert list(doc) == sorted(doc) and "holdout" in doc
     assert spark.read.json(str(tmp_path / "out" / "metrics")).count() > 20
 
 

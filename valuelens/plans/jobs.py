@@ -255,7 +255,9 @@ def _write_outputs(result: JobResult, output_dir: str, metadata: dict | None) ->
         sinks.write_table(df, f"{base}/tables/{name}", fmt="parquet", small=small)
     spark = next(iter(result.tables.values())).sparkSession
     sinks.write_metrics(result.metrics_frame(spark), f"{base}/metrics")
-    if metadata is not None and not base.startswith(("s3", "gs:", "abfs", "hdfs")):
+    if not base.startswith(("s3", "gs:", "abfs", "hdfs")):
         import os
         os.makedirs(base, exist_ok=True)
-        sinks.write_json_file(metadata, f"{base}/model_metadata.json")
+        sinks.write_json_file(result.metrics, f"{base}/metrics.json")       # nested, sorted keys
+        if metadata is not None:
+            sinks.write_json_file(metadata, f"{base}/model_metadata.json")
