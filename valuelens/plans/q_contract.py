@@ -16,6 +16,7 @@ from ..operators import split as sp
 from ..session import ensure_checkpoint_dir
 from ..sources import raw as rawsrc
 from ..sources import sinks
+from ..sources.tables import read_table
 from . import sql_fixtures as S
 from .common import (
     DISCOUNT_RATE, HORIZON_DAYS, LOOKBACK_DAYS, MARGIN_DATES, REVENUE_DATES,
@@ -108,13 +109,12 @@ def table_diff(spark, sf):
 def public_columns(spark, sf):
     cust = fx_customers(spark, sf)
     bal = fx_customers(spark, sf).select("customer_id").join(
-        S_read(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"),
+        _read(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"),
                                              F.col("c_acctbal").alias("_account_balance")), "customer_id")
     return ct.public_columns(cust.join(bal, "customer_id", "left"))
 
 
-def S_read(spark, sf, name):
-    from ..sources.tables import read_table
+def _read(spark, sf, name):
     return read_table(spark, sf, name)
 
 

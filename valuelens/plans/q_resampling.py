@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.columns import r6
 from ..operators import bootstrap as bs
 from ..operators import importance as imp

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import snapshots_margin as sm
 from ..operators import snapshots_revenue as sr
 from . import sql_fixtures as S
