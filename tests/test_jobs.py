@@ -64,9 +64,11 @@ def test_revenue_job_invariants(spark):
     assert abs(sum(row["realized_value_share"] for row in deciles) - 1.0) < 1e-9
 
 
-def test_ingest_job_quality(spark):
+def test_ingest_job_quality(spark, tmp_path):
     raw = tables.raw_lines_fixture(spark, SF)
-    canonical, report = jobs.ingest_job(spark, raw)
+    canonical, report = jobs.ingest_job(spark, raw, str(tmp_path / "canon"), fmt="csv",
+                                        quality_path=str(tmp_path / "quality"))
+    assert spark.read.json(str(tmp_path / "quality")).first()["usable_rows"] == canonical.count()
     q = report.first()
     assert q["usable_rows"] == canonical.count()
     assert q["excluded_rows"] == q["source_rows"] - q["usable_rows"]

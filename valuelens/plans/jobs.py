@@ -234,15 +234,24 @@ def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates:
     return result
 
 
-def ingest_job(spark: SparkSession, raw: DataFrame, output_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Raw lines -> (canonical transactions, one-row quality report); optional Parquet sink."""
+def ingest_job(spark: SparkSession, raw: DataFrame, output_path: str | None = None, fmt: str = "parquet",
+               quality_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw lines -> (canonical transactions, one-row quality report).
+
+    ``output_path`` writes the canonical table (Parquet by invoice month, or gzip CSV
+    with second-precision timestamps) and reads it back typed; ``quality_path``
+    writes the quality report as JSON.
+    """
+    from ..sources.raw import read_canonical
     canonical = ct.canonicalize(raw)
     if output_path:
-        sinks.write_canonical(canonical, output_path)
-        canonical = spark.read.parquet(output_path).drop("invoice_month")
+        sinks.write_canonical(canonical, output_path, fmt=fmt)
+        canonical = read_canonical(spark, output_path, fmt=fmt)
     report = ct.quality_report(raw, canonical).crossJoin(
         ct.rows_per_source(raw).agg(F.map_from_entries(F.collect_list(F.struct("source_sheet", "rows")))
-                                    .alias("source_sheets")))
+                                    .alias("source_sheets")))     # one entry per source
+    if quality_path:
+        sinks.write_metrics(report, quality_path)
     return canonical, report
 
 
