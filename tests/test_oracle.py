@@ -12,7 +12,7 @@ import __spark_entry__ as E
 from valuelens.plans.oracle_check import compare, duckdb_connection
 
 SF = "/root/testdata/sf0.001"
-SUBSET = ["margin_snapshots", "revenue_snapshots", "canonical_transactions", "quality_report",
+SUBSET = ["margin_snapshots", "margin_snapshots_sql", "revenue_snapshots", "canonical_transactions", "quality_report",
           "conformal_correction", "full_evaluation", "deciles", "policy_summary", "tier_assignment",
           "capture_curve", "fingerprint_revenue", "table_diff", "preprocess_encode"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("VALUELENS_FULL_ORACLE") else SUBSET
