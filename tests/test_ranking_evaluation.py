@@ -168,3 +168,19 @@ def test_decile_formula_small_n(spark):
     df = spark.createDataFrame([(1, 1), (1, 5)], "r long, n long")
     got = [r[0] for r in df.select(decile_from_rank(F.col("r"), F.col("n"))).collect()]
     assert got == [1, 1]
+
+
+def test_median_imputation_matches_numpy(spark):
+    from valuelens.operators.preprocess import numeric_medians, preprocess
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=31)
+    b = rng.integers(0, 5, 31).astype(float)
+    rows = [(i, None if i % 4 == 0 else float(a[i]), None if i % 5 == 0 else float(b[i]), float(i), "x" if i % 2 else None)
+            for i in range(31)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, cat string")
+    med = numeric_medians(df, ["a", "b", "c"])
+    assert set(med) == {"a", "b"}
+    assert med["a"] == pytest.approx(np.median([a[i] for i in range(31) if i % 4]))
+    assert med["b"] == pytest.approx(np.median([b[i] for i in range(31) if i % 5]))
+    out = preprocess(df, df, ["cat"], ["a", "b", "c"], keys=["k"]).orderBy("k").collect()
+    assert out[0]["a"] == pytest.approx(med["a"]) and out[0]["cat"] == 0.0     # mode 'x' -> code 0
