@@ -33,3 +33,18 @@ def test_margin_snapshot_scans_are_pruned(spark):
     df = sm.margin_snapshots(C.fx_customers(spark, SF, o), o, C.MARGIN_DATES)
     for s in _scans(df):
         assert not re.search(r"l_shipdate|l_tax|l_linestatus|o_totalprice|p_name|c_name|c_acctbal", s[2])
+
+
+def test_bootstrap_windows_share_one_exchange(spark):
+    import re as _re
+    from valuelens.operators import bootstrap as bs
+    df = spark.range(0, 60).selectExpr("id AS k", "CAST(id % 7 AS DOUBLE) AS y", "CAST(id % 5 AS DOUBLE) AS m",
+                                       "CAST(id % 3 AS DOUBLE) AS b")
+    out = bs.paired_bootstrap(df, "y", "m", "b", ["k"], iterations=5, seed=1)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    by_iteration = _re.findall(r"Exchange hashpartitioning\(it#\d+L, \d+\)", plan)
+    # the estimate (it = -1) and the resample branches each shuffle once by iteration
+    assert 1 <= len(by_iteration) <= 2
+    sorts = _re.findall(r"Sort \[it#\d+L ASC NULLS FIRST, [a-z]#\d+", plan)
+    assert len(sorts) <= 6          # <= 3 score orders per branch
