@@ -5,9 +5,10 @@ from __future__ import annotations
 from ..functions.columns import r6
 from ..operators import bootstrap as bs
 from ..operators import importance as imp
-from ..operators.baseline import margin_baseline
+from ..operators.baseline import margin_baseline, revenue_baseline
 from ..operators.scoring import MARGIN_NAMES, REVENUE_NAMES
 from ..operators.snapshots_margin import MARGIN_CATEGORICAL, MARGIN_FEATURES
+from ..operators.snapshots_revenue import REVENUE_CATEGORICAL, REVENUE_FEATURES
 from . import sql_fixtures as S
 from . import sql_scoring as Q
 from .common import round_doubles
@@ -24,17 +25,24 @@ def bootstrap_comparison(spark, sf):
                                              BOOT_ITERATIONS, SEED, 0.95, draw_hash="md5"))
 
 
-def _importance(spark, sf):
-    d = scored_test(spark, sf, "margin")
-    cols = [*KEYS, MARGIN_NAMES["actual"], *MARGIN_FEATURES]
-    return imp.permutation_importance(d.select(*cols), MARGIN_FEATURES, MARGIN_CATEGORICAL, MARGIN_NAMES["actual"],
-                                      imp.expression_scorer(r6(margin_baseline())), KEYS, SEED)
+def _importance(spark, sf, path="margin"):
+    d = scored_test(spark, sf, path)
+    names = MARGIN_NAMES if path == "margin" else REVENUE_NAMES
+    feats, cats = (MARGIN_FEATURES, MARGIN_CATEGORICAL) if path == "margin" else (REVENUE_FEATURES, REVENUE_CATEGORICAL)
+    scorer = r6(margin_baseline() if path == "margin" else revenue_baseline())
+    cols = [*KEYS, names["actual"], *feats]
+    return imp.permutation_importance(d.select(*cols), feats, cats, names["actual"],
+                                      imp.expression_scorer(scorer), KEYS, SEED)
 
 
 def permutation_importance(spark, sf):
     return round_doubles(_importance(spark, sf))
 
 
+def permutation_importance_revenue(spark, sf):
+    return round_doubles(_importance(spark, sf, "revenue"))
+
+
 def top_importance(spark, sf):
     return round_doubles(imp.top_features(_importance(spark, sf), 10))
 
@@ -42,6 +50,7 @@ def top_importance(spark, sf):
 QUERIES = {
     "bootstrap_comparison": bootstrap_comparison,
     "permutation_importance": permutation_importance,
+    "permutation_importance_revenue": permutation_importance_revenue,
     "top_importance": top_importance,
 }
 
@@ -112,14 +121,18 @@ JOIN (SELECT metric, quantile_cont(v, 0.025) AS ci_lower, quantile_cont(v, 0.975
     return S.round_cols(sql, ["estimate", "ci_lower", "ci_upper", "confidence", "probability_model_better"])
 
 
-def _importance_sql(top=None):
-    m = MARGIN_NAMES
-    ctes = Q.score_ctes("margin")
-    feats = MARGIN_FEATURES
-    numeric = [f for f in feats if f not in MARGIN_CATEGORICAL]
+def _importance_sql(top=None, path="margin"):
+    if path == "margin":
+        m, ctes, feats, cats = MARGIN_NAMES, Q.score_ctes("margin"), MARGIN_FEATURES, MARGIN_CATEGORICAL
+        value, recent, previous, smooth, clip = "margin_180d", "margin_90d", "margin_previous_90d", "10.0", "0.45"
+    else:
+        m, ctes, feats, cats = REVENUE_NAMES, Q.score_ctes("revenue"), REVENUE_FEATURES, REVENUE_CATEGORICAL
+        value, recent, previous, smooth, clip = ("net_revenue_180d", "net_revenue_90d", "net_revenue_previous_90d",
+                                                 "1.0", "0.5")
+    numeric = [f for f in feats if f not in cats]
     fv = ", ".join(f"('{f}', {i})" for i, f in enumerate(feats))
     num_case = "CASE f.feature " + " ".join(f"WHEN '{c}' THEN CAST(b.{c} AS DOUBLE)" for c in numeric) + " END"
-    txt_case = "CASE f.feature " + " ".join(f"WHEN '{c}' THEN CAST(b.{c} AS VARCHAR)" for c in MARGIN_CATEGORICAL) + " END"
+    txt_case = "CASE f.feature " + " ".join(f"WHEN '{c}' THEN CAST(b.{c} AS VARCHAR)" for c in cats) + " END"
     base = """im_base AS (SELECT *, row_number() OVER (ORDER BY customer_id, snapshot_date) AS p FROM sc_test)"""
     fe = f"im_feat AS (SELECT * FROM (VALUES {fv}) v(feature, fidx))"
     donor = f"""im_donor AS (
@@ -131,9 +144,9 @@ def _importance_sql(top=None):
 
     def v(c):
         return f"CASE WHEN f.feature = '{c}' THEN d.dnum ELSE CAST(b.{c} AS DOUBLE) END"
-    rec, m90, p90, m180 = v("recency_days"), v("margin_90d"), v("margin_previous_90d"), v("margin_180d")
-    change = f"least(greatest(({m90} - {p90}) / (abs({m90}) + abs({p90}) + 10.0::DOUBLE), -0.45::DOUBLE), 0.45::DOUBLE)"
-    pred = f"round({m180} * exp(-({rec}) / 220.0::DOUBLE) * (1.0::DOUBLE + {change}), 6) + 0.0"
+    rec, r90, p90, v180 = v("recency_days"), v(recent), v(previous), v(value)
+    change = f"least(greatest(({r90} - {p90}) / (abs({r90}) + abs({p90}) + {smooth}::DOUBLE), -{clip}::DOUBLE), {clip}::DOUBLE)"
+    pred = f"round({v180} * exp(-({rec}) / 220.0::DOUBLE) * (1.0::DOUBLE + {change}), 6) + 0.0"
     shuffled = f"""im_pred AS (
   SELECT f.feature, b.{m['actual']} AS y, {pred} AS p
   FROM im_base b CROSS JOIN im_feat f JOIN im_donor d ON d.feature = f.feature AND d.q = b.p)"""
@@ -148,5 +161,6 @@ FROM im_pred GROUP BY feature"""
 SQL = {
     "bootstrap_comparison": _bootstrap_sql(),
     "permutation_importance": _importance_sql(),
+    "permutation_importance_revenue": _importance_sql(path="revenue"),
     "top_importance": _importance_sql(10),
 }
