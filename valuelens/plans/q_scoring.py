@@ -173,6 +173,10 @@ def capture_curve(spark, sf, path="margin"):
     return round_doubles(m.unionByName(b))
 
 
+def capture_curve_revenue(spark, sf):
+    return capture_curve(spark, sf, "revenue")
+
+
 # ---- policy (margin path)
 
 def _decided(spark, sf):
@@ -253,6 +257,7 @@ QUERIES = {
     "interval_by_decile_revenue": interval_by_decile_revenue,
     "top_decile_interval": top_decile_interval,
     "capture_curve": capture_curve,
+    "capture_curve_revenue": capture_curve_revenue,
     "tier_capacity": tier_capacity,
     "tier_assignment": tier_assignment,
     "policy_scores": policy_scores,
@@ -479,6 +484,7 @@ def _sql_all():
 FROM ({_interval_diag_sql(r, 'predicted_value_decile')} FROM dec GROUP BY predicted_value_decile) z WHERE predicted_value_decile = 10""",
                                     ["highest_value_decile_coverage", "highest_value_decile_mean_width"])
     out["capture_curve"] = _capture_curve_sql(m, _MS)
+    out["capture_curve_revenue"] = _capture_curve_sql(r, _RS)
     pc, cap = _policy_ctes(m)
     out["tier_capacity"] = S.with_ctes(*_MS, body=(
         f"SELECT tier_rank, service_tier, customers FROM (SELECT * FROM {cap} c) z, "
