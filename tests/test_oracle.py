@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-import __spark_entry__ as E
+from valuelens.plans import registry as E
 from valuelens.plans.oracle_check import compare, duckdb_connection
 
 SF = "/root/testdata/sf0.001"
