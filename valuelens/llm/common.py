@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from valuelens.session import ensure_checkpoint_dir
 
+from .textnum import chunks
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,3 +61,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def map_texts(df: DataFrame, text: str, keep: list[str], new: str, per_chunk: Callable) -> DataFrame:
+    """``keep`` columns and the ``new`` ones that ``per_chunk`` computes from whole texts.
+
+    ``new`` is a DDL list; ``per_chunk(chunk)`` gives one array (NumPy or Arrow) for each
+    of its columns, with a value per text. Batches stream; memory follows one chunk.
+    """
+    added = T.StructType.fromDDL(new)
+    schema = T.StructType([df.schema[c] for c in keep] + list(added))
+    to_arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in added])
+
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(batch.column(len(keep))):
+                old = [batch.column(i).slice(chunk.first, chunk.n) for i in range(len(keep))]
+                got = [pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(per_chunk(chunk), to_arrow.types, strict=True)]
+                yield pa.RecordBatch.from_arrays(old + got, names=schema.names)
+
+    return df.select(*keep, text).mapInArrow(run, schema)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality_rules, sharding, url_filter
 
-_MODULES = [sharding]
+_MODULES = [sharding, url_filter, quality_rules]
 
 
 def queries() -> dict:
