@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, url_filter
+from . import quality_rules, sharding, toxicity, url_filter
 
-_MODULES = [sharding, url_filter, quality_rules]
+_MODULES = [sharding, url_filter, quality_rules, toxicity]
 
 
 def queries() -> dict:
