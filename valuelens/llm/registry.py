@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_crf, quality_rules, sharding, toxicity, url_filter
+from . import line_crf, packing, quality_rules, sharding, toxicity, url_filter
 
-_MODULES = [sharding, url_filter, quality_rules, toxicity, line_crf]
+_MODULES = [sharding, url_filter, quality_rules, toxicity, line_crf, packing]
 
 
 def queries() -> dict:
