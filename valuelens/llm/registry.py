@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_crf, packing, quality_rules, sharding, toxicity, url_filter
+from . import line_crf, packing, piece_sampling, quality_rules, sharding, toxicity, url_filter
 
-_MODULES = [sharding, url_filter, quality_rules, toxicity, line_crf, packing]
+_MODULES = [sharding, url_filter, quality_rules, toxicity, line_crf, packing, piece_sampling]
 
 
 def queries() -> dict:
