@@ -73,3 +73,17 @@ def test_whole_table_with_little_padding(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     assert check(rows, P.op9_karmarkar_karp(spark, sf).collect()) < 0.02
+
+
+def test_many_words_in_a_full_memory(monkeypatch):
+    from valuelens.llm.textnum import chunks
+    import pyarrow as pa
+    monkeypatch.setattr(P, "REMEMBERED", 50)
+    monkeypatch.setattr(P, "SLOTS", 128)
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abé,A"), rng.integers(1, 5))) for _ in range(60)) for _ in range(30)]
+    words, got = P.WordIds(public_tokenizers.path("word_bpe_49k.json")), []
+    for c in chunks(pa.array(texts), 500):
+        ids, first = words(c)
+        got += [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+    assert got == [encode(t) for t in texts]

@@ -10,9 +10,12 @@ sequence length, the window count rises and the group is partitioned again.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -28,8 +31,8 @@ from .common import stage, table
 from .textnum import Chunk, chunks, ragged
 
 SEQUENCE, END = 2048, 1
-#: Rest pieces in a group, about; words whose ids a task remembers.
-GROUP, REMEMBERED = 512, 300_000
+#: Rest pieces in a group, about; words whose ids a process remembers, and places for them.
+GROUP, REMEMBERED, SLOTS = 512, 1_200_000, 1 << 21
 #: Ids of sequences: group * SPAN + number in the group.
 SPAN = 1 << 32
 
@@ -94,7 +97,7 @@ class WordIds:
 
     This tokenizer drops white space and never joins symbols across it, nor a letter and
     a following ``_POINT`` mark, so a text's ids are those of its parts in order. Ids of up
-    to REMEMBERED parts are kept between chunks.
+    to REMEMBERED parts are kept between texts, in an open hash table of SLOTS places.
     """
 
     def __init__(self, path: str):
@@ -102,11 +105,36 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = re.compile("[A-Za-z]+").fullmatch
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.first, self.count = [np.zeros(0, np.uint32)], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.key, self.place = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
+        self.pool, self.first, self.count = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, h: np.ndarray, new: np.ndarray | None = None) -> np.ndarray:
+        """Place of each distinct hash, -1 where it is unknown; with ``new``, store these places."""
+        at, out, left = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(left):
+            here = at[left]
+            if new is not None:  # of those that meet at a free slot, one gets it
+                free = self.place[here] < 0
+                self.place[here[free]] = new[left[free]]
+                self.key[here] = np.where(self.place[here] == new[left], h[left], self.key[here])
+            taken = self.place[here] >= 0
+            hit = taken & (self.key[here] == h[left])
+            out[left[hit]] = self.place[here[hit]]
+            left = left[taken & ~hit]
+            at[left] = (at[left] + 1) % SLOTS
+        return out
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. One of ASCII letters only goes to the merges directly: lower case is all that precedes them."""
+        out = [[t.id for t in self.tokenizer.model.tokenize(w.lower())] if self.plain(w) else None for w in words]
+        other = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(other, self.tokenizer.encode_batch([words[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def parts(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, end, _ = c.words()
@@ -119,25 +147,23 @@ class WordIds:
         """Ids of all texts in a row, each text's END id included, and each text's first index."""
         start, end, first = self.parts(c)
         distinct, sample, which = np.unique(c.hashes(start, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if len(self.first) + len(distinct) > REMEMBERED:
             self.forget()
-        at = np.fromiter(map(self.known.get, distinct.tolist(), [-1] * len(distinct)), np.int64, len(distinct))
+        at = self.find(distinct)
         new = np.flatnonzero(at < 0)
+        kept = new[:max(0, REMEMBERED - len(self.first))]  # one text may hold more words than are remembered
         if len(new):
             data = c.data.tobytes()
-            words = [data[start[i]:end[i]].decode("utf-8", "replace") for i in sample[new].tolist()]
-            ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            pool = np.fromiter((x for one in ids for x in one), np.uint32, int(count.sum()))
-            base = len(self.pool[0])
+            ids = self.encode([data[start[i]:end[i]].decode("utf-8", "replace") for i in sample[new].tolist()])
+            count = np.fromiter(map(len, ids), np.int32, len(ids))
+            pool = np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(count.sum()))
             at[new] = len(self.first) + np.arange(len(new))
-            self.first = np.concatenate([self.first, base + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.pool = [np.concatenate([self.pool[0], pool])]
-            self.known.update(zip(distinct[new].tolist(), at[new].tolist(), strict=True))
+            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count, dtype=np.int64) - count])
+            self.count, self.pool = np.concatenate([self.count, count]), np.concatenate([self.pool, pool])
+            self.find(distinct[kept], at[kept])
         word = at[which.ravel()]
-        count = self.count[word]
-        flat = self.pool[0][ragged(self.first[word], count)]
+        count = self.count[word].astype(np.int64)
+        flat = self.pool[ragged(self.first[word], count)]
         ends = np.concatenate([[0], np.cumsum(count)])[first[1:]]
         out = np.full(len(flat) + c.n, END, np.uint32)
         keep = np.ones(len(out), bool)
@@ -146,6 +172,12 @@ class WordIds:
         return out, np.concatenate([[0], ends + np.arange(1, c.n + 1)])
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python process, which serves many tasks."""
+    return WordIds(path)
+
+
 def cut_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, sequence: int = SEQUENCE,
                rest: int = SEQUENCE // 4, with_ids: bool = False) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens (and ids) of every piece of every row.
@@ -159,7 +191,7 @@ def cut_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
     kinds = [to_arrow_type(f.dataType) for f in schema][1:]
 
     def run(batches):
-        encode = WordIds(path)
+        encode = word_ids(path)
         for batch in batches:
             for c in chunks(batch.column(1)):
                 ids, first = encode(c)
