@@ -184,10 +184,11 @@ def fit(sample: list[tuple[bytes, int]], share: float) -> Model:
 
     parts = []
     for rows in (~held, held):
-        got = [line_features(c) for c in chunks(pa.array([t for (t, _), r in zip(sample, rows, strict=True) if r], pa.binary()), 1 << 40)]
+        got = [line_features(c) for c in chunks(pa.array([t for (t, _), r in zip(sample, rows, strict=True) if r], pa.binary()))]
         base = np.concatenate([[0], np.cumsum([g[1][-1] for g in got])])
-        parts.append((np.concatenate([g[0] for g in got]), np.concatenate([g[1][:-1] + o for g, o in zip(got, base, strict=False)] + [base[-1:]]),
-                      np.concatenate([g[2] for g in got])))
+        parts.append((np.concatenate([g[0].astype(np.float32) for g in got]),
+                      np.concatenate([g[1][:-1] + o for g, o in zip(got, base, strict=False)] + [base[-1:]]), np.concatenate([g[2] for g in got])))
+        del got
     (x, first, _), rest = parts
     model = Model(*train(x, first, y[~held] == 1), np.array([1.0, 0.0]))
     z = y[held]

@@ -191,16 +191,18 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[i
                     key: str = "doc_id", text: str = "text") -> tuple[list[tuple[bytes, int]], float]:
     """A bounded sample of (text, label) and the share of label 1 among all rows of ``labels``.
 
-    Per label the ``rows`` texts of at most ``longest`` bytes whose keys hash lowest: this
-    much reaches the driver whatever the input's size.
+    Per label the ``rows`` keys that hash lowest are drawn from the labels and sent to the
+    scan of the texts, so no text is shuffled; those of more than ``longest`` bytes are
+    left out. This much reaches the driver whatever the input's size.
     """
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
     total = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    texts = (docs.select(key, text).where(F.col(text).isNotNull() & (F.octet_length(text) <= longest))
-             .join(known, key).withColumn("_h", F.xxhash64(key, F.lit(label))))
+    known = known.withColumn("_h", F.xxhash64(key, F.lit(label)))
+    texts = docs.select(key, text).where(F.col(text).isNotNull() & (F.octet_length(text) <= longest))
     out = []
     for y in (0, 1):
-        got = texts.where(F.col("_label") == y).orderBy("_h", text).limit(rows[y]).select(text).collect()
+        drawn = known.where(F.col("_label") == y).orderBy("_h", key).limit(rows[y])
+        got = texts.join(F.broadcast(drawn), key).orderBy("_h", text).limit(rows[y]).select(text).collect()
         out += [(r[0].encode(), y) for r in got]
     return out, total.get(1, 0) / max(sum(total.values()), 1)
 
