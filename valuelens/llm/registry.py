@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, line_crf, ngram_join, packing, piece_sampling, quality_rules, sharding, toxicity, url_filter
+from . import embedding_dedup, line_crf, ngram_join, packing, piece_sampling, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 
-_MODULES = [sharding, url_filter, quality_rules, toxicity, line_crf, ngram_join, packing, piece_sampling, embedding_dedup, ngram_join]
+_MODULES = [sharding, url_filter, quality_rules, toxicity, line_crf, ngram_join, packing, piece_sampling, embedding_dedup, ngram_join, suffix_dedup]
 
 
 def queries() -> dict:
