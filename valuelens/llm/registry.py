@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from . import embedding_dedup, line_crf, ngram_join, packing, piece_sampling, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 
-_MODULES = [sharding, url_filter, quality_rules, toxicity, line_crf, ngram_join, packing, piece_sampling, embedding_dedup, ngram_join, suffix_dedup]
+_MODULES = [sharding, url_filter, ngram_join, toxicity, piece_sampling, quality_rules, embedding_dedup, suffix_dedup, packing, line_crf]
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # at the repository's top; it imports this package
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     out: dict = {}
     for m in _MODULES:
         out.update(m.QUERIES)
-    return out
+    return out | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict:
