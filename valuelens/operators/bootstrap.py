@@ -108,17 +108,23 @@ def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_
     if draw_hash not in ("xxhash64", "md5"):
         raise ValueError("draw_hash must be 'xxhash64' or 'md5'")
     if int(iterations) < 1:
-        raise ValueError("Bootstrap iterations must be positive")
+        raise ValueError("iterations must be at least 1")
     if not 0.0 < float(confidence) < 1.0:
-        raise ValueError("Bootstrap confidence must be strictly between zero and one")
+        raise ValueError("confidence must lie inside (0, 1)")
     spark = df.sparkSession
     keys = list(key_cols)
     base = df.select(*keys, F.col(actual).cast("double").alias("y"), F.col(model).cast("double").alias("m"),
                      F.col(baseline).cast("double").alias("b"))
     rows = global_rank(base, keys, "_rid")          # dense row ids for the draws
-    n_rows = rows.count()          # one scalar: sizes the draw range
+    unfit = F.lit(False)
+    for c in ("y", "m", "b"):
+        unfit = unfit | F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(unfit).alias("unfit")).first()
+    n_rows = counted["n"]          # one scalar: sizes the draw range
     if n_rows == 0:
-        raise ValueError("Bootstrap inputs must be non-empty")
+        raise ValueError("no rows to resample")
+    if counted["unfit"]:
+        raise ValueError(f"{counted['unfit']} rows hold null or non-finite values")
     B = int(iterations)
     total = B * n_rows
     parts = max(default_parallelism(spark), -(-total // 5_000_000))

@@ -34,7 +34,7 @@ def conformal_correction(calibration: DataFrame, actual: str, raw_lower: str, ra
     """
     t = float(target_coverage)
     if not 0.0 < t < 1.0 or math.isnan(t):
-        raise ValueError("target_coverage must be strictly between zero and one")
+        raise ValueError("target_coverage must lie inside (0, 1)")
     y, lo, hi = F.col(actual), F.col(raw_lower), F.col(raw_upper)
     scored = calibration.select(*key_cols, y.alias("_y"), lo.alias("_lo"), hi.alias("_hi"),
                                 F.greatest(lo - y, y - hi).alias("_s"))

@@ -39,9 +39,9 @@ def pearson_expr(x: Column, y: Column) -> Column:
 def spearman(df: DataFrame, actual: str, pred: str, key_cols: Sequence[str]) -> DataFrame:
     """One row: spearman = Pearson of tie-averaged ranks; 0 if either side is constant."""
     base = df.select(*key_cols, F.col(actual).alias("_y"), F.col(pred).alias("_p"))
-    ry = average_rank(base, "_y", key_cols, "_ry")
-    rp = average_rank(ry, "_p", key_cols, "_rp")
-    return rp.agg(
+    ry = average_rank(base.select(*key_cols, "_y"), "_y", key_cols, "_ry")
+    rp = average_rank(base.select(*key_cols, "_p"), "_p", key_cols, "_rp")
+    return ry.join(rp, list(key_cols)).agg(
         F.when(F.min("_y") == F.max("_y"), F.lit(0.0))
         .when(F.min("_p") == F.max("_p"), F.lit(0.0))
         .otherwise(pearson_expr(F.col("_ry"), F.col("_rp"))).alias("spearman"))
@@ -68,7 +68,7 @@ def with_count(df: DataFrame, name: str = "_n") -> DataFrame:
 
 def top_capture(df: DataFrame, actual: str, score: str, key_cols: Sequence[str],
                 fractions: Sequence[float] = (0.10, 0.20)) -> DataFrame:
-    ranked = with_count(rank_desc(df, score, key_cols))
+    ranked = with_count(rank_desc(df.select(*key_cols, *dict.fromkeys([actual, score])), score, key_cols))
     cols = [top_fraction_capture_expr(F.col(actual), F.col("_rank"), F.col("_n"), f)
             .alias(f"top_{int(round(f * 100))}_value_capture") for f in fractions]
     return ranked.agg(*cols)
@@ -108,9 +108,8 @@ def portfolio_checks(df: DataFrame, actual: str, pred: str) -> DataFrame:
 
 
 def value_ranks(df: DataFrame, value: str, key_cols: Sequence[str], out_col: str) -> DataFrame:
-    """(value, tie-averaged ascending rank) per distinct value; one global sort."""
-    ranked = global_rank(df.select(value, *key_cols), [value, *key_cols], "_vr")
-    return ranked.groupBy(value).agg(((F.min("_vr") + F.max("_vr")) / F.lit(2.0)).alias(out_col))
+    """(key, tie-averaged ascending rank of the value) of every row; one global sort."""
+    return average_rank(df.select(*key_cols, value), value, key_cols, out_col).select(*key_cols, out_col)
 
 
 def regression_metrics(df: DataFrame, actual: str, pred: str, key_cols: Sequence[str],
@@ -119,11 +118,13 @@ def regression_metrics(df: DataFrame, actual: str, pred: str, key_cols: Sequence
     """One row: mae, wape, rmse, spearman, top-10/20 capture [, coverage, width].
 
     One global sort by score (descending, key tiebreak) serves both the top-k
-    capture and the score's tie-averaged ranks (ascending average rank of a value
-    = n + 1 - its average descending rank).  ``actual_ranks`` (from
-    ``value_ranks``) can be shared between scorers evaluated on the same rows.
+    capture and the score's tie-averaged ranks (their correlation with the actual's
+    ascending ranks changes its sign).  ``actual_ranks`` (from ``value_ranks``) can be
+    shared between scorers evaluated on the same rows.  Rows meet on their key only: a
+    value that half of them share is no join key.
     """
-    ranked = with_count(rank_desc(df, pred, key_cols))
+    narrow = df.select(*key_cols, *dict.fromkeys(c for c in (actual, pred, lower, upper) if c))
+    ranked = with_count(average_rank(narrow, pred, key_cols, "_rp", descending="_rank"))
     y, p = F.col(actual), F.col(pred)
     cols = [
         F.avg(F.abs(y - p)).alias("mae"),
@@ -136,13 +137,10 @@ def regression_metrics(df: DataFrame, actual: str, pred: str, key_cols: Sequence
         covered = ((y >= F.col(lower)) & (y <= F.col(upper))).cast("double")
         cols += [F.avg(covered).alias("interval_80_coverage"),
                  F.avg(F.col(upper) - F.col(lower)).alias("interval_mean_width")]
-    score_ranks = ranked.groupBy(pred).agg(
-        (F.first("_n") + F.lit(1) - (F.min("_rank") + F.max("_rank")) / F.lit(2.0)).alias("_rp"))
     yr = actual_ranks if actual_ranks is not None else value_ranks(df, actual, key_cols, "_ry")
-    yr = yr.withColumnRenamed(yr.columns[1], "_ry")
-    both = ranked.join(score_ranks, pred, "inner").join(yr, actual, "inner")
+    both = ranked.join(yr.withColumnRenamed(yr.columns[-1], "_ry"), list(key_cols), "inner")
     cols += [F.when(F.min(y) == F.max(y), F.lit(0.0)).when(F.min(p) == F.max(p), F.lit(0.0))
-             .otherwise(pearson_expr(F.col("_ry"), F.col("_rp"))).alias("spearman")]
+             .otherwise(pearson_expr(F.col("_ry"), F.col("_n") + F.lit(1) - F.col("_rp"))).alias("spearman")]
     return both.agg(*cols)
 
 
@@ -160,9 +158,9 @@ def to_long(wide: DataFrame, group: str | None = None, group_col: str = "scorer"
 def assign_deciles(df: DataFrame, score: str, key_cols: Sequence[str], out_col: str = "predicted_value_decile",
                    bins: int = 10) -> DataFrame:
     """Equal-frequency score bins, 1 = lowest; ties ordered by key (rank 'first')."""
-    ranked = with_count(global_rank(df, [score, *key_cols], "_rank_asc"))
-    return ranked.withColumn(out_col, decile_from_rank(F.col("_rank_asc"), F.col("_n"), bins)) \
-        .drop("_rank_asc", "_n")
+    ranked = with_count(global_rank(df.select(score, *key_cols), [score, *key_cols], "_rank_asc"))
+    binned = ranked.select(*key_cols, decile_from_rank(F.col("_rank_asc"), F.col("_n"), bins).alias(out_col))
+    return df.join(binned, list(key_cols))
 
 
 def interval_diagnostics(df: DataFrame, group_col: str, actual: str, raw_lower: str, raw_upper: str,
@@ -170,7 +168,7 @@ def interval_diagnostics(df: DataFrame, group_col: str, actual: str, raw_lower:
     """Per group: customers, raw/calibrated coverage and mean width."""
     missing = {group_col, actual, raw_lower, raw_upper, lower, upper} - set(df.columns)
     if missing:
-        raise ValueError(f"Missing interval diagnostic columns: {sorted(missing)}")
+        raise ValueError(f"interval diagnostics need columns that are absent: {sorted(missing)}")
     y = F.col(actual)
     raw_cov = ((y >= F.col(raw_lower)) & (y <= F.col(raw_upper))).cast("double")
     cal_cov = ((y >= F.col(lower)) & (y <= F.col(upper))).cast("double")
@@ -204,7 +202,7 @@ def capture_curve(df: DataFrame, actual: str, score: str, key_cols: Sequence[str
     Row of rank r first counts at point p_min(r) = floor(points*(r-1)/n) + 1; a sum
     per point (<= points rows) and a running sum over the points give the curve.
     """
-    ranked = with_count(rank_desc(df, score, key_cols))
+    ranked = with_count(rank_desc(df.select(*key_cols, *dict.fromkeys([actual, score])), score, key_cols))
     first_point = (F.floor(F.lit(points) * (F.col("_rank") - F.lit(1)) / F.col("_n")) + F.lit(1)).cast("int")
     per_point = ranked.groupBy(first_point.alias("coverage_point")).agg(
         F.sum(actual).alias("_v"), F.count(F.lit(1)).alias("_c"))

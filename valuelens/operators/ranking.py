@@ -35,8 +35,11 @@ def _as_sort(c: str | Column) -> Column:
 
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "rank",
-                partitions: int | None = None) -> DataFrame:
-    """Add a dense 1..n ``rank_col`` following ``order`` (must end in a unique key)."""
+                partitions: int | None = None, keep_range: str | None = None) -> DataFrame:
+    """Add a dense 1..n ``rank_col`` following ``order`` (must end in a unique key).
+
+    ``keep_range`` names a column for the range (0..P-1) that holds the row.
+    """
     spark = df.sparkSession
     p = int(partitions or default_parallelism(spark))
     sort = [_as_sort(c) for c in order]
@@ -52,21 +55,31 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "r
                    F.lit(0)).alias("_off"))
     return (fixed.join(F.broadcast(offsets), "_pid", "inner")
             .withColumn(rank_col, (F.col("_off") + F.col("_pos") + F.lit(1)).cast("bigint"))
-            .drop("_mid", "_pid", "_pos", "_off"))
+            .withColumn(keep_range or "_pid", F.col("_pid"))
+            .drop("_mid", "_pos", "_off", *(["_pid"] if keep_range != "_pid" else [])))
 
 
-def average_rank(df: DataFrame, value_col: str, key_cols: Sequence[str], out_col: str) -> DataFrame:
+def average_rank(df: DataFrame, value_col: str, key_cols: Sequence[str], out_col: str,
+                 descending: str | None = None) -> DataFrame:
     """Average (tie-aware) 1-based rank of ``value_col``, like ``scipy.stats.rankdata``.
 
-    Rows are ranked once by (value, key); the average rank of a value is the mean of
-    its first and last row rank, obtained with a per-value aggregate (map-side
-    combined, so a value shared by many rows does not load one task) and joined back.
+    Rows are ranked once by (value, key), descending if ``descending`` names a column for
+    that rank.  Equal values lie side by side, so inside a range a tie is a group of that
+    range; only the first and last value of a range can reach into another one.  These
+    are at most 2 P values, whose ends over all ranges are broadcast.  No row is shuffled
+    by its value alone, however many rows share it.
     """
-    tmp = f"_r_{out_col}"
-    ranked = global_rank(df, [value_col, *key_cols], tmp)
-    per_value = ranked.groupBy(value_col).agg(
-        ((F.min(tmp) + F.max(tmp)) / F.lit(2.0)).alias(out_col))
-    return ranked.drop(tmp).join(per_value, value_col, "inner")
+    rank = descending or f"_r_{out_col}"
+    order = F.col(value_col).desc() if descending else F.col(value_col).asc()
+    ranked = global_rank(df, [order, *key_cols], rank, keep_range="_range")
+    ties = ranked.groupBy("_range", value_col).agg(F.min(rank).alias("_first"), F.max(rank).alias("_last"))
+    ends = ranked.groupBy("_range").agg(F.min(rank).alias("_lo"), F.max(rank).alias("_hi"))
+    edge = (ties.join(F.broadcast(ends), "_range").where((F.col("_first") == F.col("_lo")) | (F.col("_last") == F.col("_hi")))
+            .groupBy(value_col).agg(F.min("_first").alias("_from"), F.max("_last").alias("_to")))
+    ties = ties.join(F.broadcast(edge), value_col, "left").select(
+        "_range", value_col, ((F.coalesce("_from", "_first") + F.coalesce("_to", "_last")) / F.lit(2.0)).alias(out_col))
+    out = ranked.join(ties, ["_range", value_col], "inner").drop("_range")
+    return out if descending else out.drop(rank)
 
 
 def decile_from_rank(rank: Column, n: Column, bins: int = 10) -> Column:

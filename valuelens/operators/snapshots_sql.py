@@ -1,75 +1,50 @@
-"""Margin snapshots through the SQL surface (A6 + D0): the inputs are registered as
-temporary views and one Spark SQL statement joins the orders with a parameter
-view holding every snapshot date (range predicates as join conditions).
+"""Margin snapshots through the SQL surface (A6 + D0): registered views, a parameter
+view with one row per snapshot date, and range predicates as join conditions.
 
-Catalyst plans the parameter side as a broadcast nested-loop join: the
-parameter view has one row per configured date.  This is the reference-shaped
-formulation; ``snapshots_margin.margin_snapshots`` is the literal-array variant.
+The statement reads the orders once. Every order near a snapshot becomes an event with
+its age in days (0 on the snapshot's day, negative behind it); features and labels are
+filtered aggregates over the events of a customer and snapshot. The outer date bounds
+are literals, so the scan is pruned before the join with the parameter view, which is
+broadcast (one row per configured date).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dates import parse_dates
+from .snapshots_margin import MARGIN_FEATURES, MARGIN_LABELS
 
-_SQL = """
-WITH f AS (
-  SELECT p.snapshot_date, o.customer_id,
-    max(o.order_date) AS last_order_date,
-    count(DISTINCT o.order_id) AS orders_365d,
-    count(DISTINCT o.order_id) FILTER (WHERE o.order_date > date_sub(p.snapshot_date, 30)) AS orders_30d,
-    count(DISTINCT o.order_id) FILTER (WHERE o.order_date > date_sub(p.snapshot_date, 90)) AS orders_90d,
-    count(DISTINCT o.order_id) FILTER (WHERE o.order_date > date_sub(p.snapshot_date, 180)) AS orders_180d,
-    sum(o.net_revenue) AS revenue_365d,
-    sum(o.net_revenue) FILTER (WHERE o.order_date > date_sub(p.snapshot_date, 90)) AS revenue_90d,
-    sum(o.net_revenue) FILTER (WHERE o.order_date > date_sub(p.snapshot_date, 180)) AS revenue_180d,
-    sum(o.contribution_margin) AS margin_365d,
-    sum(o.contribution_margin) FILTER (WHERE o.order_date > date_sub(p.snapshot_date, 90)) AS margin_90d,
-    sum(o.contribution_margin) FILTER (WHERE o.order_date > date_sub(p.snapshot_date, 180)) AS margin_180d,
-    sum(o.contribution_margin) FILTER (WHERE o.order_date <= date_sub(p.snapshot_date, 90)
-                                        AND o.order_date > date_sub(p.snapshot_date, 180)) AS margin_previous_90d,
-    avg(o.net_revenue) AS average_order_value_365d,
-    avg(o.discount_ratio) AS average_discount_365d,
-    avg(o.returned) AS return_rate_365d,
-    count(DISTINCT o.category) AS category_diversity_365d,
-    count(DISTINCT trunc(o.order_date, 'MM')) AS active_months_365d
-  FROM {params} p JOIN {orders} o
-    ON o.order_date <= p.snapshot_date AND o.order_date > date_sub(p.snapshot_date, {lookback})
-  GROUP BY p.snapshot_date, o.customer_id),
-l AS (
-  SELECT p.snapshot_date, o.customer_id, count(DISTINCT o.order_id) AS future_orders_180d,
-    sum(o.contribution_margin / (1.0D + {rate}D * datediff(o.order_date, p.snapshot_date) / 365.0D))
-      AS future_discounted_margin_180d
-  FROM {params} p JOIN {orders} o
-    ON o.order_date > p.snapshot_date AND o.order_date <= date_add(p.snapshot_date, {horizon})
-  GROUP BY p.snapshot_date, o.customer_id)
-SELECT c.customer_id, p.snapshot_date, c.acquisition_channel, c.region,
-  CAST(datediff(p.snapshot_date, c.acquisition_date) AS BIGINT) AS tenure_days,
-  CAST(coalesce(datediff(p.snapshot_date, f.last_order_date), {lookback} + 1) AS BIGINT) AS recency_days,
-  coalesce(f.orders_30d, 0) AS orders_30d, coalesce(f.orders_90d, 0) AS orders_90d,
-  coalesce(f.orders_180d, 0) AS orders_180d, coalesce(f.orders_365d, 0) AS orders_365d,
-  coalesce(f.revenue_90d, 0D) AS revenue_90d, coalesce(f.revenue_180d, 0D) AS revenue_180d,
-  coalesce(f.revenue_365d, 0D) AS revenue_365d, coalesce(f.margin_90d, 0D) AS margin_90d,
-  coalesce(f.margin_previous_90d, 0D) AS margin_previous_90d, coalesce(f.margin_180d, 0D) AS margin_180d,
-  coalesce(f.margin_365d, 0D) AS margin_365d,
-  coalesce(f.average_order_value_365d, 0D) AS average_order_value_365d,
-  coalesce(f.average_discount_365d, 0D) AS average_discount_365d,
-  coalesce(f.return_rate_365d, 0D) AS return_rate_365d,
-  coalesce(f.category_diversity_365d, 0) AS category_diversity_365d,
-  coalesce(f.active_months_365d, 0) AS active_months_365d,
-  coalesce(f.margin_90d, 0D) - coalesce(f.margin_previous_90d, 0D) AS margin_momentum_90d,
-  CASE WHEN coalesce(f.orders_365d, 0) = 0 THEN 0D ELSE f.orders_90d / f.orders_365d END AS recent_order_share,
-  coalesce(l.future_orders_180d, 0) AS future_orders_180d,
-  coalesce(l.future_discounted_margin_180d, 0D) AS future_discounted_margin_180d,
-  CAST(coalesce(l.future_orders_180d, 0) > 0 AS INT) AS future_active_180d
-FROM {params} p JOIN {customers} c ON c.acquisition_date <= p.snapshot_date
-LEFT JOIN f ON f.customer_id = c.customer_id AND f.snapshot_date = p.snapshot_date
-LEFT JOIN l ON l.customer_id = c.customer_id AND l.snapshot_date = p.snapshot_date
-"""
+
+def _statement(names: dict[str, str], first: str, last: str, lookback: int, horizon: int, rate: float) -> str:
+    def within(days: int, start: int = 0) -> str:
+        return f"FILTER (WHERE age BETWEEN {start} AND {days - 1})"
+
+    picks = [f"count(DISTINCT order_id) {within(d)} AS orders_{d}d" for d in (30, 90, 180)]
+    picks += [f"count(DISTINCT {c}) {within(lookback)} AS {n}_365d" for n, c in
+              (("orders", "order_id"), ("category_diversity", "category"), ("active_months", "date_format(order_date, 'yyyyMM')"))]
+    picks += [f"sum({c}) {within(d)} AS {n}_{label}d" for n, c in (("revenue", "net_revenue"), ("margin", "contribution_margin"))
+              for label, d in ((90, 90), (180, 180), (365, lookback))]
+    picks += [f"avg({c}) {within(lookback)} AS {n}_365d" for n, c in
+              (("average_order_value", "net_revenue"), ("average_discount", "discount_ratio"), ("return_rate", "returned"))]
+    picks += [f"sum(contribution_margin) {within(180, 90)} AS margin_previous_90d", f"min(age) {within(lookback)} AS last_age",
+              "count(DISTINCT order_id) FILTER (WHERE age < 0) AS future_orders_180d",
+              f"sum(contribution_margin / (1 - {float(rate)!r}D * age / 365)) FILTER (WHERE age < 0) AS future_discounted_margin_180d"]
+    return f"""
+    WITH near AS (
+      SELECT * FROM {names['orders']} WHERE order_date BETWEEN DATE '{first}' AND DATE '{last}'),
+    event AS (
+      SELECT near.*, snapshot_date, datediff(snapshot_date, order_date) AS age
+      FROM near JOIN {names['params']} ON datediff(snapshot_date, order_date) BETWEEN {-horizon} AND {lookback - 1}),
+    summed AS (SELECT customer_id, snapshot_date, {', '.join(picks)} FROM event GROUP BY customer_id, snapshot_date)
+    SELECT who.*, {names['params']}.snapshot_date, summed.* EXCEPT (customer_id, snapshot_date)
+    FROM {names['customers']} AS who
+    JOIN {names['params']} ON who.acquisition_date <= {names['params']}.snapshot_date
+    LEFT JOIN summed ON summed.customer_id = who.customer_id AND summed.snapshot_date = {names['params']}.snapshot_date"""
 
 
 def margin_snapshots_sql(customers: DataFrame, orders: DataFrame, snapshot_dates: Sequence,
@@ -77,12 +52,20 @@ def margin_snapshots_sql(customers: DataFrame, orders: DataFrame, snapshot_dates
                          annual_discount_rate: float = 0.10, view_prefix: str = "vl") -> DataFrame:
     spark = orders.sparkSession
     dates = parse_dates(snapshot_dates)
-    params = spark.createDataFrame([(d,) for d in dates], "snapshot_date date")
+    L, H = int(lookback_days), int(horizon_days)
     names = {k: f"{view_prefix}_{k}" for k in ("params", "orders", "customers")}
-    F.broadcast(params).createOrReplaceTempView(names["params"])
+    F.broadcast(spark.createDataFrame([(d,) for d in dates], "snapshot_date date")).createOrReplaceTempView(names["params"])
     orders.createOrReplaceTempView(names["orders"])
-    customers.createOrReplaceTempView(names["customers"])
-    out = spark.sql(_SQL.format(lookback=int(lookback_days), horizon=int(horizon_days),
-                                rate=repr(float(annual_discount_rate)), **names))
-    return out.select(*[F.col(c).cast("bigint").alias(c) if c.startswith(("orders_", "category_", "active_", "future_orders"))
-                        else F.col(c) for c in out.columns])
+    customers.select("customer_id", "acquisition_date", "acquisition_channel", "region").createOrReplaceTempView(names["customers"])
+    bounds = (min(dates) - timedelta(days=L - 1)).isoformat(), (max(dates) + timedelta(days=H)).isoformat()
+    rows = spark.sql(_statement(names, *bounds, L, H, annual_discount_rate))
+    kinds = {c: "bigint" for c in rows.columns if c.startswith(("orders_", "category_", "active_", "future_orders"))}
+    kinds |= {c: "double" for c in rows.columns if c.startswith(("revenue_", "margin_", "average_", "return_", "future_discounted"))}
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast(t) for c, t in kinds.items()})
+    return rows.withColumns({
+        "tenure_days": F.datediff("snapshot_date", "acquisition_date").cast("bigint"),
+        "recency_days": F.coalesce("last_age", F.lit(L + 1)).cast("bigint"),
+        "margin_momentum_90d": F.col("margin_90d") - F.col("margin_previous_90d"),
+        "recent_order_share": F.coalesce(F.try_divide(F.col("orders_90d").cast("double"), F.col("orders_365d")), F.lit(0.0)),
+        "future_active_180d": (F.col("future_orders_180d") > 0).cast("int"),
+    }).select("customer_id", "snapshot_date", *MARGIN_FEATURES, *MARGIN_LABELS)

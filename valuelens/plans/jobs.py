@@ -70,7 +70,7 @@ def _check_common(snapshot_dates, selection, calibration, test, lookback, horizo
     if int(lookback) < 1 or int(horizon) < 1:
         raise ValueError("lookback_days and horizon_days must be positive")
     if not 0.0 < float(target_coverage) < 1.0:
-        raise ValueError("interval_target_coverage must be strictly between zero and one")
+        raise ValueError("interval_target_coverage must lie inside (0, 1)")
 
 
 def _first_row(df: DataFrame) -> dict:

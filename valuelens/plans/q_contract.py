@@ -221,7 +221,7 @@ FROM (SELECT count(*) AS rows, bit_xor(h) AS x, sum(CAST(h AS HUGEINT)) AS s
 
 _M_ALL = S.MARGIN_FEATURE_COLS + S.MARGIN_LABEL_COLS
 _R_ALL = S.REVENUE_FEATURE_COLS + S.REVENUE_LABEL_COLS
-_R_NAMES = ["params", "elig", "latest", "hist", "agg", "fut", "snap"]
+_R_NAMES = ["params", "event", "row", "elig", "latest", "snap"]
 
 
 def _rounded_table(name, src, doubles):

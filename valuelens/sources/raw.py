@@ -15,19 +15,14 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in
                            ["Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price",
                             "Customer ID", "Country"]])
 
-CANONICAL_SCHEMA = T.StructType([
-    T.StructField(c, {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
-                      "timestamp_ntz": T.TimestampNTZType()}[t], True)
-    for c, t in CANONICAL_TYPES.items()
-])
-
 
 def load_sources(spark: SparkSession, sources: Mapping[str, str], fmt: str = "csv",
                  schema: T.StructType = RAW_SCHEMA, options: Mapping[str, str] | None = None) -> DataFrame:
-    """A1: read every source with a pinned schema, tag rows with the source name, union.
+    """A1: read every source, select the schema's columns by name, tag rows with the source name, union.
 
-    ``sources`` maps source name -> path (file, folder or glob).  Each read is a plain
-    splittable scan; the union adds no shuffle.
+    ``sources`` maps source name -> path (file, folder or glob).  A CSV's own header names
+    its columns (all read as text, whatever their order); a source that lacks a column of
+    ``schema`` is refused.  Each read is a splittable scan; the union adds no shuffle.
     """
     if not sources:
         raise ValueError("at least one source is required")
@@ -35,12 +30,15 @@ def load_sources(spark: SparkSession, sources: Mapping[str, str], fmt: str = "cs
     frames = []
     for name, path in sources.items():
         reader = spark.read.format(fmt).options(**opts)
-        if fmt != "parquet":
-            reader = reader.schema(schema)
-        frames.append(reader.load(path).withColumn("source_sheet", F.lit(name)))
+        if fmt == "csv":
+            reader = reader.option("inferSchema", "false").option("enforceSchema", "false")
+        frame = reader.load(path)
+        require_columns(frame, schema.fieldNames(), f"source {name}")
+        frames.append(frame.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+                      .withColumn("source_sheet", F.lit(name)))
     out = frames[0]
     for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+        out = out.unionByName(f)
     require_columns(out, SOURCE_COLUMNS, "raw source")
     return out
 
@@ -54,9 +52,9 @@ def read_canonical(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        df = (spark.read.schema(CANONICAL_SCHEMA).option("header", "true")
-              .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+        df = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
     require_columns(df, CANONICAL_COLUMNS, "canonical table")
+    require_non_empty(df, "canonical table")
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in CANONICAL_TYPES.items()])
 
 
