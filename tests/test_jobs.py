@@ -50,7 +50,7 @@ def test_margin_job_invariants(spark, tmp_path):
 def test_revenue_job_invariants(spark):
     tx = tables.transactions_fixture(spark, SF)
     r = jobs.revenue_job(spark, tx, snapshot_dates=REVENUE_DATES, selection="1998-07-01",
-                         calibration="1999-07-01", test="2000-07-01", bootstrap_iterations=30, rounds=4,
+                         calibration="1999-07-01", test="2000-07-01", bootstrap_iterations=200, rounds=4,
                          quantile_rounds=2, with_importance=False)
     m = r.metrics
     assert m["interval_calibration"]["calibrated_coverage"] >= 0.8 - 1e-12
@@ -73,3 +73,25 @@ def test_ingest_job_quality(spark, tmp_path):
     assert q["usable_rows"] == canonical.count()
     assert q["excluded_rows"] == q["source_rows"] - q["usable_rows"]
     assert set(q["source_sheets"]) == {"early", "late"}
+
+
+def test_quantile_booster_equals_its_trees(spark):
+    """One Arrow pass gives what MLlib's own leaf columns give tree by tree."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import functions as F
+    from valuelens.operators import models as md
+    rows = [(Vectors.dense([float(i % 17), float((i * 7) % 23)]), float((i % 17) * 3 + (i * i) % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, ["features", "y"])
+    model = md.fit_quantile_booster(df, "y", 0.9, 12, 0.2, 3, 5)
+    out = model.predict(df, "q").select("y", "q").toPandas()
+    assert 0.85 <= (out.y <= out.q).mean() <= 0.97
+    flat = md.fit_quantile_booster(df, "y", 0.9, 0, 0.2, 3, 5)
+    assert flat.predict(df, "q").agg(F.countDistinct("q")).first()[0] == 1
+
+
+def test_nulls_first_seen_at_scoring_take_the_median(spark):
+    from valuelens.operators.preprocess import numeric_medians, preprocess
+    fit = spark.createDataFrame([("a", 1, "x", 1.0, None), ("b", 1, "x", 3.0, None)], "customer_id string, snapshot_date int, c string, v double, w double")
+    new = spark.createDataFrame([("z", 2, "x", None, None)], fit.schema)
+    row = preprocess(fit, new, ["c"], ["v", "w"]).first()
+    assert row["v"] == 2.0 and row["w"] is None and numeric_medians(fit, ["v", "w"]) == {"v": 2.0}

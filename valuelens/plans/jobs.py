@@ -39,6 +39,8 @@ from ..session import ensure_checkpoint_dir, materialize
 from ..sources import sinks
 
 KEYS = ["customer_id", "snapshot_date"]
+#: Fewest bootstrap iterations that a job accepts for its intervals.
+MIN_ITERATIONS = 200
 
 
 @dataclass
@@ -53,11 +55,12 @@ class JobResult:
             if isinstance(obj, Mapping):
                 for k, v in obj.items():
                     walk(f"{prefix}.{k}" if prefix else str(k), v)
-            elif isinstance(obj, (int, float)) and not isinstance(obj, bool):
+            elif obj is not None:
                 sec, _, name = prefix.partition(".")
-                rows.append((sec, name, float(obj)))
+                number = isinstance(obj, (int, float)) and not isinstance(obj, bool)
+                rows.append((sec, name, float(obj) if number else None, None if number else str(obj)))
         walk("", self.metrics)
-        return spark.createDataFrame(rows, "section string, metric string, value double")
+        return spark.createDataFrame(rows, "section string, metric string, value double, text string")
 
 
 def _check_common(snapshot_dates, selection, calibration, test, lookback, horizon, target_coverage):
@@ -119,7 +122,8 @@ def _evaluate(scored: DataFrame, names) -> dict:
 
 def _importance(model, test_frame, names, features, categorical, seed):
     def scorer(frame):
-        return md.predict(model, frame, {**names}).withColumnRenamed(names["pred"], "prediction")
+        rows = model.preprocessor.transform(frame)
+        return md.point_prediction(model.classifier, model.regressor, rows, "prediction", names["prob"])
     cols = [*KEYS, names["actual"], *features]
     return imp.permutation_importance(test_frame.select(*cols), features, categorical, names["actual"], scorer,
                                       KEYS, seed)
@@ -158,7 +162,7 @@ def margin_job(spark: SparkSession, orders: DataFrame, customers: DataFrame, *,
     tables = {"snapshots": snaps, "scored": decided, "tier_summary": tiers, "interval_by_decile": by_decile,
               "interval_by_tier": by_tier, "candidates": cand}
     if with_importance:
-        tables["importance"] = _importance(model, test_frame, names, sm.MARGIN_FEATURES, sm.MARGIN_CATEGORICAL, seed)
+        tables["importance"] = _stage(_importance(model, test_frame, names, sm.MARGIN_FEATURES, sm.MARGIN_CATEGORICAL, seed), None, "importance")
     metrics = {
         "data": {"snapshot_rows": fp["rows"], "fingerprint": fp["fingerprint"]},
         "split": {f"{k}_rows": v for k, v in counts.items()},
@@ -187,8 +191,8 @@ def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates:
                 quantile_rounds: int | None = None, seed: int = 42, with_importance: bool = True,
                 output_dir: str | None = None) -> JobResult:
     _check_common(snapshot_dates, selection, calibration, test, lookback_days, horizon_days, interval_target_coverage)
-    if int(bootstrap_iterations) < 1:
-        raise ValueError("bootstrap_iterations must be positive")
+    if int(bootstrap_iterations) < MIN_ITERATIONS:
+        raise ValueError(f"bootstrap_iterations must be at least {MIN_ITERATIONS}")
     ensure_checkpoint_dir(spark)
     names = REVENUE_NAMES
     ct.lookback_gate(transactions, snapshot_dates, lookback_days)
@@ -202,8 +206,8 @@ def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates:
     scored = pred.withColumn(names["baseline"], revenue_baseline())
     scored = _stage(ev.assign_deciles(scored, names["pred"], KEYS), output_dir, "test_predictions")
     evaluation = _evaluate(scored, names)
-    boot = bs.paired_bootstrap(scored, names["actual"], names["pred"], names["baseline"], KEYS,
-                               bootstrap_iterations, seed)
+    boot = _stage(bs.paired_bootstrap(scored, names["actual"], names["pred"], names["baseline"], KEYS,
+                                      bootstrap_iterations, seed), None, "bootstrap")      # four rows, used three times
     deciles = ev.decile_value_summary(scored, "predicted_value_decile", names["actual"], names["pred"])
     by_decile = ev.interval_diagnostics(scored, "predicted_value_decile", names["actual"], names["lower_raw"],
                                         names["upper_raw"], names["lower"], names["upper"])
@@ -211,7 +215,7 @@ def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates:
     tables = {"snapshots": snaps, "value_by_decile": deciles, "interval_by_decile": by_decile,
               "bootstrap": boot, "candidates": cand}
     if with_importance:
-        tables["importance"] = _importance(model, test_frame, names, sr.REVENUE_FEATURES, sr.REVENUE_CATEGORICAL, seed)
+        tables["importance"] = _stage(_importance(model, test_frame, names, sr.REVENUE_FEATURES, sr.REVENUE_CATEGORICAL, seed), None, "importance")
     metrics = {
         "data": {"snapshot_rows": fp["rows"], "snapshot_fingerprint": fp["fingerprint"]},
         "split": {f"{k}_rows": v for k, v in counts.items()},
@@ -227,7 +231,7 @@ def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates:
     }
     result = JobResult(metrics, tables)
     if output_dir:
-        published = {k: v for k, v in tables.items() if k in ("value_by_decile", "interval_by_decile", "bootstrap")}
+        published = {k: v for k, v in tables.items() if k in ("value_by_decile", "interval_by_decile", "bootstrap", "importance")}
         for k, v in published.items():
             sinks.publish_aggregates(v, f"{output_dir.rstrip('/')}/public/{k}")
         _write_outputs(result, output_dir, None)
@@ -264,9 +268,6 @@ def _write_outputs(result: JobResult, output_dir: str, metadata: dict | None) ->
         sinks.write_table(df, f"{base}/tables/{name}", fmt="parquet", small=small)
     spark = next(iter(result.tables.values())).sparkSession
     sinks.write_metrics(result.metrics_frame(spark), f"{base}/metrics")
-    if not base.startswith(("s3", "gs:", "abfs", "hdfs")):
-        import os
-        os.makedirs(base, exist_ok=True)
-        sinks.write_json_file(result.metrics, f"{base}/metrics.json")       # nested, sorted keys
-        if metadata is not None:
-            sinks.write_json_file(metadata, f"{base}/model_metadata.json")
+    sinks.write_json_file(spark, result.metrics, f"{base}/metrics.json")       # nested, sorted keys
+    if metadata is not None:
+        sinks.write_json_file(spark, metadata, f"{base}/model_metadata.json")
