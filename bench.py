@@ -33,7 +33,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     from valuelens.plans import registry
-    from valuelens.session import build_session
+    from valuelens.session import build_session, cleanup_materialized
     spark = build_session(master=f"local[{cpus}]", app="valuelens-bench", shuffle_partitions=max(8, cpus),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     qs = registry.queries()
@@ -52,6 +52,7 @@ def main() -> None:
             print(f"# {name} failed: {type(exc).__name__}: {str(exc)[:300]}", file=sys.stderr)
             continue
         print(f"# {name}: {times[name]:.2f}s", file=sys.stderr)
+        cleanup_materialized(spark)
     sf = os.path.basename(sf_dir).replace("sf", "")
     total = round(sum(v for v in times.values() if v is not None), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec",

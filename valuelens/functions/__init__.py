@@ -1,10 +1,8 @@
 """Column-expression helpers; every helper returns a built-in Spark Column."""
 
 from .columns import (  # noqa: F401
-    days_between,
     hash_index,
     is_close_to_integer,
     r6,
-    safe_ratio,
     strip_whitespace,
 )

@@ -19,12 +19,6 @@ def r6(c: str | Column, digits: int = 6) -> Column:
     return F.round(col_of(c).cast("double"), digits) + F.lit(0.0)
 
 
-def safe_ratio(num: str | Column, den: str | Column, default: float = 0.0) -> Column:
-    """num / den, ``default`` when the denominator is 0 or null (ANSI-safe)."""
-    return F.coalesce(F.try_divide(col_of(num).cast("double"), col_of(den).cast("double")),
-                      F.lit(default))
-
-
 # Fixed value: the whitespace set of Python's str.strip for ASCII text.
 WHITESPACE = " \t\n\r\x0b\x0c"
 
@@ -41,11 +35,6 @@ def is_close_to_integer(x: str | Column, rtol: float = 1e-5, atol: float = 1e-8)
     return F.abs(x - nearest) <= F.lit(atol) + F.lit(rtol) * F.abs(nearest)
 
 
-def days_between(later: str | Column, earlier: str | Column) -> Column:
-    """Whole calendar days between two dates/timestamps, as BIGINT."""
-    return F.datediff(F.to_date(col_of(later)), F.to_date(col_of(earlier))).cast("bigint")
-
-
 def hash_index(*parts: str | Column) -> Column:
     """Deterministic non-negative 60-bit integer from md5 of the parts.
 

@@ -34,8 +34,3 @@ def date_array(dates: Sequence[dt.date]) -> Column:
 def route_to_snapshots(dates: Sequence[dt.date], keep: Callable[[Column], Column]) -> Column:
     """``explode`` of the snapshot dates ``s`` for which ``keep(s)`` holds."""
     return F.explode(F.filter(date_array(dates), keep))
-
-
-def ts_ntz(d: Column) -> Column:
-    """Midnight of a DATE as TIMESTAMP_NTZ (timezone independent)."""
-    return d.cast("timestamp_ntz")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import hash_index
 from ..operators import contract as ct
 from ..operators import integrity as ig
 from ..operators import preprocess as pp
@@ -32,7 +33,13 @@ def _canonical(spark, sf):
 
 
 def source_load_counts(spark, sf):
-    return ct.rows_per_source(fx_raw(spark, sf))
+    """A1: the raw lines written as one CSV folder per source, loaded again by header."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/valuelens/raw-{uuid.uuid4().hex}"
+    raw = fx_raw(spark, sf)
+    names = ("early", "late")
+    for name in names:
+        raw.where(F.col("source_sheet") == name).drop("source_sheet").write.option("header", "true").csv(f"{base}/{name}")
+    return ct.rows_per_source(rawsrc.load_sources(spark, {name: f"{base}/{name}" for name in names}))
 
 
 def canonical_transactions(spark, sf):
@@ -130,8 +137,18 @@ def development_set(spark, sf):
     return sp.part(_roles(spark, sf), "train", "selection").select("customer_id", "snapshot_date", "role")
 
 
+#: One value in NULL_SHARE is taken out; the LATE columns lose values in the test part only.
+NULL_SHARE = 11
+LATE = (sm.MARGIN_NUMERIC[0], sm.MARGIN_NUMERIC[-1])
+
+
 def preprocess_encode(spark, sf):
+    """F1 with nulls put in by a hash: in every column of the test part, in all but the LATE ones of the fit part."""
     roles = _roles(spark, sf)
+    for c in [*sm.MARGIN_CATEGORICAL, *sm.MARGIN_NUMERIC]:
+        gone = hash_index(F.lit(c), "customer_id", "snapshot_date") % NULL_SHARE == 0
+        gone = gone & (F.col("role") == "test") if c in LATE else gone
+        roles = roles.withColumn(c, F.when(~gone, F.col(c)))
     fit = sp.part(roles, "train", "selection")
     test = sp.part(roles, "test")
     return round_doubles(pp.preprocess(fit, test, sm.MARGIN_CATEGORICAL, sm.MARGIN_NUMERIC))
@@ -279,8 +296,14 @@ def _role_case():
 
 def _preprocess_sql():
     m = S.margin_snapshot_ctes()
-    roles = f"pr_roles AS (SELECT *, {_role_case()} AS role FROM m_snap)"
-    codes = []
+    holes = ", ".join(
+        f"CASE WHEN ('0x' || substr(md5(concat_ws('|', '{c}', customer_id::VARCHAR, snapshot_date::VARCHAR)), 1, 15))::BIGINT % {NULL_SHARE} = 0"
+        f"{' AND role = ' + chr(39) + 'test' + chr(39) if c in LATE else ''} THEN NULL ELSE {c} END AS {c}"
+        for c in [*sm.MARGIN_CATEGORICAL, *sm.MARGIN_NUMERIC])
+    roles = f"pr_roles AS (SELECT * REPLACE ({holes}) FROM (SELECT *, {_role_case()} AS role FROM m_snap) z)"
+    fills = ", ".join([f"(SELECT {c} FROM pr_fit WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS {c}" for c in sm.MARGIN_CATEGORICAL]
+                      + [f"(SELECT quantile_cont({c}::DOUBLE, 0.5) FROM pr_fit) AS {c}" for c in sm.MARGIN_NUMERIC])
+    codes = ["pr_fit AS (SELECT * FROM pr_roles WHERE role IN ('train', 'selection'))", f"pr_fill AS (SELECT {fills})"]
     for c in sm.MARGIN_CATEGORICAL:
         codes.append(f"""pr_{c} AS (SELECT {c} AS v, CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS code
   FROM (SELECT DISTINCT {c} FROM pr_roles WHERE role IN ('train', 'selection') AND {c} IS NOT NULL) d)""")
@@ -288,9 +311,9 @@ def _preprocess_sql():
     joins = []
     for c in sm.MARGIN_CATEGORICAL:
         sel.append(f"COALESCE(j_{c}.code, -1.0::DOUBLE) AS {c}")
-        joins.append(f"LEFT JOIN pr_{c} j_{c} ON j_{c}.v = t.{c}")
-    sel += [f"round(CAST(t.{c} AS DOUBLE), 6) + 0.0 AS {c}" for c in sm.MARGIN_NUMERIC]
-    body = f"SELECT {', '.join(sel)} FROM (SELECT * FROM pr_roles WHERE role = 'test') t {' '.join(joins)}"
+        joins.append(f"LEFT JOIN pr_{c} j_{c} ON j_{c}.v = COALESCE(t.{c}, pr_fill.{c})")
+    sel += [f"round(COALESCE(CAST(t.{c} AS DOUBLE), pr_fill.{c}), 6) + 0.0 AS {c}" for c in sm.MARGIN_NUMERIC]
+    body = f"SELECT {', '.join(sel)} FROM (SELECT * FROM pr_roles WHERE role = 'test') t CROSS JOIN pr_fill {' '.join(joins)}"
     return S.with_ctes(*m, roles, *codes, body=body)
 
 
@@ -324,7 +347,8 @@ FROM (SELECT min(invoice_date) AS start FROM fx_tx) s, (VALUES {gd}) d(snapshot_
     out["snapshot_checks_revenue"] = _snapshot_checks_sql([*r, rr], "r_round", _R_ALL, S.REVENUE_DOUBLE_COLS, REVENUE_DATES,
                                                           "future_active_180d")
     out["key_uniqueness"] = S.with_ctes(*m, body="""SELECT 'features' AS side, count(*) AS rows, count(DISTINCT (customer_id, snapshot_date)) AS distinct_keys FROM m_snap
-UNION ALL SELECT 'labels' AS side, count(*) AS rows, count(DISTINCT (customer_id, snapshot_date)) AS distinct_keys FROM m_snap""")
+UNION ALL SELECT 'labels' AS side, count(*) AS rows, count(DISTINCT (customer_id, snapshot_date)) AS distinct_keys
+FROM (SELECT customer_id, snapshot_date FROM fx_cust, m_params WHERE acquisition_date <= snapshot_date) z""")
     out["fingerprint_margin"] = _fingerprint_sql([*m, mr], "m_round", _M_ALL, S.MARGIN_DOUBLE_COLS)
     out["fingerprint_revenue"] = _fingerprint_sql([*r, rr], "r_round", _R_ALL, S.REVENUE_DOUBLE_COLS)
     out["table_diff"] = _table_diff_sql()

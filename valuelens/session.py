@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -87,21 +86,3 @@ def default_parallelism(spark: SparkSession) -> int:
     except Exception:  # pragma: no cover - conf always present in practice
         value = 200
     return max(1, value)
-
-
-def env_int(name: str, default: int) -> int:
-    raw = os.environ.get(name)
-    return int(raw) if raw else default
-
-
-def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that arrived in fewer partitions than the cluster has cores.
-
-    A few large files with one row group each would otherwise run every
-    pre-shuffle operator (joins, routing, partial aggregation) in one task.  On a
-    real input (thousands of splits) this is a no-op: no extra shuffle.
-    """
-    target = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
