@@ -16,7 +16,8 @@ def plain(t):
     cover = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)}
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), len(lines),
-            len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t)), len(re.findall("[!?]", t)), len(set(w))]
+            len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t)), len(re.findall("[!?]", t)), len(set(w)),
+            sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w), sum(bool(re.search(r"[#*$%&|<>]", x)) for x in lines)]
 
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=" \n\tab#é中A!", max_size=60),

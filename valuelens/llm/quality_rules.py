@@ -1,9 +1,9 @@
 """Quality rules by weak supervision.
 
 Each rule votes good (1) or bad (-1) on a document or abstains (0). A label model holds a
-prior and one accuracy for each rule (abstention tells nothing); expectation-maximisation
-fits them to the counts of vote patterns of the whole corpus, of which there are at most
-3 ** rules, so only these reach the driver. A document is kept if its pattern's
+prior and how often each rule votes so on good and on bad documents;
+expectation-maximisation fits them to the counts of vote patterns of the whole corpus,
+of which there are at most 3 ** rules, so only these reach the driver. A document is kept if its pattern's
 posterior probability of good is at least one half.
 """
 
@@ -23,8 +23,10 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"!?")] = True
 
 COUNTS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, "
-          "n_lower long, n_marks long, n_distinct long")
+          "n_lower long, n_marks long, n_distinct long, n_odd_words long, n_odd_lines long")
 WINDOW = 5
+#: Pseudo-documents of each class: bad and good votes of a rule on good ones (the other way round on bad ones), and their number.
+PSEUDO, PSEUDO_TOTAL = np.array([1.0, 4.0]), 10.0
 
 
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +50,7 @@ def text_counts(c: Chunk) -> list[np.ndarray]:
     start, end, first = c.words()
     words = np.diff(first)
     codes = np.concatenate([[0], np.cumsum(((c.data & 0xC0) != 0x80) & ~SPACE[c.data])])
+    symbols = np.concatenate([[0], np.cumsum(SYMBOL[c.data])])
     per = lambda flags: sums(flags, c.off)
     h = c.hashes(start, end)
     _, seen = repeated(_within(h, first))
@@ -65,7 +68,8 @@ def text_counts(c: Chunk) -> list[np.ndarray]:
     _, dup = repeated(_within(c.hashes(lstart[full], lend[full]), lfull))
     upper, lower = (c.data >= 65) & (c.data <= 90), (c.data >= 97) & (c.data <= 122)
     return [words, codes[c.off[1:]] - codes[c.off[:-1]], per(SYMBOL[c.data]), sums(dup, lfull), sums(cover[:len(h)], first),
-            lines, per(upper), per(lower), per(_MARK[c.data]), words - sums(seen, first)]
+            lines, per(upper), per(lower), per(_MARK[c.data]), words - sums(seen, first),
+            sums(symbols[end] > symbols[start], first), np.bincount(text_of[(symbols[lend] > symbols[lstart])[full]], minlength=c.n)]
 
 
 def base_failed() -> Column:
@@ -84,6 +88,8 @@ def rules() -> dict[str, Column]:
         "length": _vote(n < 10, n >= 40),
         "repeats": _vote(c("n_repeat_words") * 5 > n, (c("n_repeat_words") * 20 <= n) & (n >= 10)),
         "symbols": _vote(c("n_symbols") * 5 > n, (c("n_symbols") * 50 <= n) & (n >= 10)),
+        "odd_words": _vote(c("n_odd_words") * 10 > n, (c("n_odd_words") * 50 <= n) & (n >= 10)),
+        "odd_lines": _vote(c("n_odd_lines") * 2 > c("n_lines"), (c("n_odd_lines") == 0) & (n >= 10)),
         "lines": _vote(c("n_dup_lines") * 10 > c("n_lines") * 3, (c("n_dup_lines") == 0) & (c("n_lines") >= 3)),
         "capitals": _vote(c("n_upper") * 10 > letters * 3, (c("n_upper") * 10 <= letters) & (letters >= 40)),
         "word_length": _vote((c("word_chars") < n * 2) | (c("word_chars") > n * 14), (c("word_chars") >= n * 3) & (c("word_chars") <= n * 10) & (n >= 10)),
@@ -92,24 +98,29 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
-    """Prior of good, accuracy of each rule, and the posterior of each pattern (rows of ``votes``).
+def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+    """Prior of good, accuracy of each rule's votes, and the posterior of each pattern (rows of ``votes``).
 
-    The first posterior is the share of good among the votes; accuracies stay in
-    [0.55, 0.98] and the prior in [0.05, 0.95], so that a rule is never read against its
-    meaning and none decides alone. A pattern without votes has the prior.
+    A rule votes good, bad or not at all with one set of probabilities on good and one on
+    bad documents: its bad votes may be far more telling than its good ones. The first
+    posterior is the share of good among the votes. Pseudo-documents keep every
+    probability off 0 and 1; a vote never counts against its meaning, and abstaining
+    counts for nothing. A pattern without votes has the prior.
     """
     voted = votes != 0
-    good = votes == 1
-    q = (good.sum(1) + 0.5) / (voted.sum(1) + 1.0)
-    prior, acc = 0.5, np.full(votes.shape[1], 0.7)
+    each = np.stack([votes == v for v in (-1, 1)], 2).astype(float)
+    q = ((votes == 1).sum(1) + 0.5) / (voted.sum(1) + 1.0)
+    prior, chance = 0.5, np.zeros((2, votes.shape[1], 2))
     for _ in range(rounds):
-        right = np.where(good, q[:, None], 1 - q[:, None]) * voted
-        acc = np.clip(((right * weight[:, None]).sum(0) + 0.7) / ((voted * weight[:, None]).sum(0) + 1.0), 0.55, 0.98)
-        prior = float(np.clip((q * weight).sum() / max(weight.sum(), 1), 0.05, 0.95))
-        step = (votes * np.log(acc / (1 - acc))).sum(1) + np.log(prior / (1 - prior))
-        q = 1 / (1 + np.exp(-step))
-    return prior, acc, q
+        for k, z in enumerate((q, 1 - q)):
+            share = (each * (z * weight)[:, None, None]).sum(0) + (PSEUDO if k == 0 else PSEUDO[::-1])
+            chance[k] = share / ((z * weight).sum() + PSEUDO_TOTAL)
+        prior = float(np.clip((q * weight).sum() / max(weight.sum(), 1), 0.02, 0.98))
+        told = np.log(chance[0] / chance[1])
+        told = np.column_stack([np.minimum(told[:, 0], 0), np.maximum(told[:, 1], 0)])
+        q = 1 / (1 + np.exp(-np.clip((each * told).sum((1, 2)) + np.log(prior / (1 - prior)), -50, 50)))
+    right = (each * np.stack([1 - q, q], 1)[:, None, :] * weight[:, None, None]).sum((0, 2))
+    return prior, right / np.maximum((voted * weight[:, None]).sum(0), 1e-9), q
 
 
 def judge(df: DataFrame, keep: list[str], text: str = "text", least: float = 0.5) -> DataFrame:
