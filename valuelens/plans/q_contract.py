@@ -219,7 +219,8 @@ _CANON_DBL = ["quantity", "unit_price", "signed_revenue"]
 
 def _kind_text(name, kind):
     if kind == "double":
-        return f"CAST(CAST(round({name} * 1000000.0::DOUBLE) AS BIGINT) AS VARCHAR)"
+        return (f"CAST(CAST(floor({name}) AS BIGINT) AS VARCHAR) || ':' || "
+                f"CAST(CAST(round(({name} - floor({name})) * 1000000000.0::DOUBLE) AS BIGINT) AS VARCHAR)")
     if kind == "date":
         return f"strftime({name}, '%Y-%m-%d')"
     return f"CAST({name} AS VARCHAR)"
