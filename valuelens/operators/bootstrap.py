@@ -11,10 +11,11 @@ metric is then a *weighted* statistic over the drawn rows:
   Spearman    tie-averaged ranks in the resample, W(<v) + (W(=v)+1)/2, then a
               weighted Pearson correlation (0 when a side is constant)
 
-Running weight sums follow a global position (from ``global_rank``) in blocks of
-at most ``block_rows`` positions: block totals give per-iteration offsets and a
-window over (iteration, block) finishes the sums, so no iteration's rows have to
-fit in one task.  Iteration -1 carries unit weights and yields the point
+Positions and tie groups of the three orders (actual, model, baseline) are those of
+the rows and are found once.  In a resample, rows meet in blocks of at most
+``block_rows`` positions; a small table of (order, iteration, block) holds the weight
+ahead of each block and the tie groups that cross its borders, so neither an
+iteration nor a value that half of the rows share has to fit in one task.  Iteration -1 carries unit weights and yields the point
 estimates with the same code path.
 """
 
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_index
-from ..session import default_parallelism
-from .ranking import global_rank
+from ..session import default_parallelism, materialize
+from .ranking import global_rank, tie_spans
 
 METRICS = ["spearman_difference", "top_10_capture_difference", "top_20_capture_difference", "wape_difference"]
 
@@ -38,54 +39,61 @@ def _draw_hash(kind: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "it", "draw")
 
 
-def _running_weight(df: DataFrame, pos: str, out: str, block_rows: int) -> DataFrame:
-    """Inclusive running Σw per iteration along ``pos`` (1-based global position)."""
-    blk = f"_blk_{out}"
-    d = df.withColumn(blk, F.floor((F.col(pos) - 1) / F.lit(block_rows)).cast("bigint"))
-    totals = d.groupBy("it", blk).agg(F.sum("w").alias("_bt"))
-    before = Window.partitionBy("it").orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("it", blk, F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_boff"))
-    run = Window.partitionBy("it", blk).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.join(offsets, ["it", blk], "inner")
-            .withColumn(out, F.col("_boff") + F.sum("w").over(run))
-            .drop(blk, "_boff"))
-
-
-def _avg_rank_by_value(df: DataFrame, value: str, running: str, descending: bool, out: str,
-                       n: Column) -> DataFrame:
-    """Tie-averaged ascending rank of ``value`` in each resample from a running sum."""
-    grp = df.groupBy("it", value).agg(F.sum("w").alias("_eq"),
-                                      F.min(F.col(running) - F.col("w")).alias("_before"))
-    if descending:   # _before counts larger values
-        lt = n - F.col("_before") - F.col("_eq")
-    else:
-        lt = F.col("_before")
-    ranks = grp.select("it", value, (lt + (F.col("_eq") + F.lit(1)) / F.lit(2.0)).alias(out))
-    return df.join(ranks, ["it", value], "inner")
-
-
-def _weights_single_block(weighted: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
-    """All n positions fit in one block (n <= block_rows): every running sum and
-    tie-averaged rank is a window over the iteration, sharing one exchange.
-
-    For each score the ROWS window ordered by (score, key) runs first; the RANGE
-    windows ordered by the score alone then reuse its sort (a prefix ordering),
-    so each score costs one sort.
+#: Columns, and whether their positions run from the largest value down.
+_SIDES = (("y", False), ("m", True), ("b", True))
+
+
+def _block_table(weighted: DataFrame, block_rows: int) -> DataFrame:
+    """side, it, blk, off, ties: what a block of positions needs to know about the blocks beside it.
+
+    off is the weight ahead of the block; ties has, for the at most two tie groups that
+    cross the block's borders, the group's weight over all blocks and the weight ahead of
+    it.  One aggregation with partial sums for all three orders; the result has at most
+    3 x iterations x blocks rows.
+    """
+    def block(c):
+        return F.floor((c - 1) / F.lit(block_rows)).cast("bigint")
+
+    items = F.array(*[F.struct(F.lit(c).alias("side"), block(F.col(f"p{c}")).alias("blk"), F.col(f"f{c}").alias("f"),
+                               block(F.col(f"f{c}")).alias("fb"), block(F.col(f"l{c}")).alias("lb")) for c, _ in _SIDES])
+    parts = weighted.select("it", "w", F.explode(items).alias("_s")).select("it", "w", "_s.*")
+    head, tail = F.col("fb") < F.col("blk"), (F.col("fb") == F.col("blk")) & (F.col("lb") > F.col("blk"))
+    sums = parts.groupBy("side", "it", "blk").agg(
+        F.sum("w").alias("tot"), F.sum(F.when(head, F.col("w"))).alias("head"), F.max(F.when(head, F.col("f"))).alias("head_f"),
+        F.sum(F.when(tail, F.col("w"))).alias("tail"), F.max(F.when(tail, F.col("f"))).alias("tail_f"))
+    ahead = Window.partitionBy("side", "it").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("off", F.coalesce(F.sum("tot").over(ahead), F.lit(0)))
+    cross = sums.select("side", "it", "blk", F.explode(F.array(
+        F.struct(F.col("head_f").alias("f"), F.col("head").alias("part"), F.col("off").alias("before")),
+        F.struct(F.col("tail_f").alias("f"), F.col("tail").alias("part"), (F.col("off") + F.col("tot") - F.col("tail")).alias("before")))).alias("_t"))
+    cross = cross.select("side", "it", "blk", "_t.*").where("f IS NOT NULL")
+    whole = Window.partitionBy("side", "it", "f")
+    ties = (cross.withColumns({"eq": F.sum("part").over(whole), "start": F.min("before").over(whole)})
+            .groupBy("side", "it", "blk").agg(F.collect_list(F.struct("f", "eq", "start")).alias("ties")))
+    return sums.select("side", "it", "blk", "off").join(ties, ["side", "it", "blk"], "left")
+
+
+def _ranked_side(weighted: DataFrame, blocks: DataFrame, c: str, descending: bool, block_rows: int, n: Column) -> DataFrame:
+    """Adds ``c<c>``, the running weight, and ``r<c>``, the tie-averaged ascending rank in the resample.
+
+    Rows of an iteration meet in blocks of ``block_rows`` positions: one exchange, one
+    sort, and a join with the block's row on the same keys.
     """
-    def frame(order, lo, hi, range_frame=False):
-        w = Window.partitionBy("it").orderBy(*order)
-        return w.rangeBetween(lo, hi) if range_frame else w.rowsBetween(lo, hi)
+    p, f, l = (F.col(x + c) for x in "pfl")
+    rows = weighted.withColumn("blk", F.floor((p - 1) / F.lit(block_rows)).cast("bigint"))
     unb, cur = Window.unboundedPreceding, Window.currentRow
-    out = weighted
-    for col, desc, run, rank in (("y", False, None, "ry"), ("m", True, "cm", "rm"), ("b", True, "cb", "rb")):
-        order_v = [F.col(col).desc() if desc else F.col(col)]
-        if run:
-            out = out.withColumn(run, F.sum("w").over(frame([*order_v, *[F.col(k) for k in keys]], unb, cur)))
-        upto = F.sum("w").over(frame(order_v, unb, cur, True))      # W(<= v) in this direction
-        eq = F.sum("w").over(frame(order_v, cur, cur, True))        # W(= v)
-        lt = (n - upto) if desc else (upto - eq)                     # W(< v) ascending
-        out = out.withColumn(rank, lt + (eq + F.lit(1)) / F.lit(2.0))
-    return out
+    here = Window.partitionBy("it", "blk")
+    rows = rows.withColumns({"_run": F.sum("w").over(here.orderBy(f, p).rowsBetween(unb, cur)),
+                             "_upto": F.sum("w").over(here.orderBy(f).rangeBetween(unb, cur)),
+                             "_eq": F.sum("w").over(here.orderBy(f).rangeBetween(cur, cur))})
+    rows = rows.join(blocks.where(F.col("side") == c).drop("side"), ["it", "blk"])
+    tie = F.filter(F.coalesce("ties", F.array().cast("array<struct<f:bigint,eq:bigint,start:bigint>>")), lambda t: t["f"] == f)
+    across = F.size(tie) > 0
+    eq = F.when(across, tie[0]["eq"]).otherwise(F.col("_eq"))
+    before = F.when(across, tie[0]["start"]).otherwise(F.col("off") + F.col("_upto") - F.col("_eq"))
+    below = n - before - eq if descending else before
+    return rows.withColumns({f"c{c}": F.col("off") + F.col("_run"), f"r{c}": below + (eq + F.lit(1)) / F.lit(2.0)}) \
+        .drop("blk", "off", "ties", "_run", "_upto", "_eq", f"p{c}", f"f{c}", f"l{c}")
 
 
 def _weighted_pearson(x: str, y: str, n: Column) -> Column:
@@ -99,7 +107,7 @@ def _weighted_pearson(x: str, y: str, n: Column) -> Column:
 
 def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_cols: Sequence[str],
                      iterations: int = 1000, seed: int = 42, confidence: float = 0.95,
-                     block_rows: int = 1 << 20, draw_hash: str = "xxhash64") -> DataFrame:
+                     block_rows: int = 1 << 16, draw_hash: str = "xxhash64") -> DataFrame:
     """(metric, estimate, ci_lower, ci_upper, confidence, probability_model_better,
     favorable_direction); differences are model - baseline.
 
@@ -135,19 +143,12 @@ def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_
              .groupBy("it", "_rid").agg(F.count(F.lit(1)).alias("w")))
     unit = rows.select(F.lit(-1).cast("bigint").alias("it"), "_rid", F.lit(1).cast("bigint").alias("w"))
     n = F.lit(float(n_rows))
-    if n_rows <= block_rows:
-        weighted = _weights_single_block(draws.unionByName(unit).join(rows, "_rid", "inner"), keys, n)
-    else:
-        rows = global_rank(rows, ["y", *keys], "pos_y")
-        rows = global_rank(rows, [F.col("m").desc(), *keys], "pos_m")
-        rows = global_rank(rows, [F.col("b").desc(), *keys], "pos_b")
-        weighted = draws.unionByName(unit).join(rows, "_rid", "inner")
-        weighted = _running_weight(weighted, "pos_y", "cy", block_rows)
-        weighted = _running_weight(weighted, "pos_m", "cm", block_rows)
-        weighted = _running_weight(weighted, "pos_b", "cb", block_rows)
-        weighted = _avg_rank_by_value(weighted, "y", "cy", False, "ry", n)
-        weighted = _avg_rank_by_value(weighted, "m", "cm", True, "rm", n)
-        weighted = _avg_rank_by_value(weighted, "b", "cb", True, "rb", n)
+    for c, descending in _SIDES:       # the orders are those of the rows, whatever the resample
+        rows = tie_spans(rows, c, keys, f"p{c}", f"f{c}", f"l{c}", descending)
+    weighted = draws.unionByName(unit).join(rows.drop(*keys), "_rid", "inner").drop("_rid")
+    blocks = materialize(_block_table(weighted, block_rows), "blocks")
+    for c, descending in _SIDES:
+        weighted = _ranked_side(weighted, blocks, c, descending, block_rows, n)
 
     def capture(c_col: str, f: float) -> Column:
         k = F.greatest(F.lit(1.0), F.ceil(n * F.lit(float(f))).cast("double"))

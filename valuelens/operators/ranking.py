@@ -59,26 +59,35 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank_col: str = "r
             .drop("_mid", "_pos", "_off", *(["_pid"] if keep_range != "_pid" else [])))
 
 
+def tie_spans(df: DataFrame, value_col: str, key_cols: Sequence[str], rank: str, first: str, last: str,
+              descending: bool = False) -> DataFrame:
+    """Rank of every row by (value, key), and the first and last rank of the rows with its value.
+
+    Equal values lie side by side, so inside a range a tie is a group of that range; only
+    the first and last value of a range can reach into another one.  These are at most
+    2 P values, whose ends over all ranges are broadcast.  No row is shuffled by its value
+    alone, however many rows share it.
+    """
+    order = F.col(value_col).desc() if descending else F.col(value_col).asc()
+    ranked = global_rank(df, [order, *key_cols], rank, keep_range="_range")
+    ties = ranked.groupBy("_range", value_col).agg(F.min(rank).alias(first), F.max(rank).alias(last))
+    ends = ranked.groupBy("_range").agg(F.min(rank).alias("_lo"), F.max(rank).alias("_hi"))
+    edge = (ties.join(F.broadcast(ends), "_range").where((F.col(first) == F.col("_lo")) | (F.col(last) == F.col("_hi")))
+            .groupBy(value_col).agg(F.min(first).alias("_from"), F.max(last).alias("_to")))
+    ties = ties.join(F.broadcast(edge), value_col, "left").select(
+        "_range", value_col, F.coalesce("_from", first).alias(first), F.coalesce("_to", last).alias(last))
+    return ranked.join(ties, ["_range", value_col], "inner").drop("_range")
+
+
 def average_rank(df: DataFrame, value_col: str, key_cols: Sequence[str], out_col: str,
                  descending: str | None = None) -> DataFrame:
     """Average (tie-aware) 1-based rank of ``value_col``, like ``scipy.stats.rankdata``.
 
-    Rows are ranked once by (value, key), descending if ``descending`` names a column for
-    that rank.  Equal values lie side by side, so inside a range a tie is a group of that
-    range; only the first and last value of a range can reach into another one.  These
-    are at most 2 P values, whose ends over all ranges are broadcast.  No row is shuffled
-    by its value alone, however many rows share it.
+    Descending, with the rank itself, if ``descending`` names a column for that rank.
     """
     rank = descending or f"_r_{out_col}"
-    order = F.col(value_col).desc() if descending else F.col(value_col).asc()
-    ranked = global_rank(df, [order, *key_cols], rank, keep_range="_range")
-    ties = ranked.groupBy("_range", value_col).agg(F.min(rank).alias("_first"), F.max(rank).alias("_last"))
-    ends = ranked.groupBy("_range").agg(F.min(rank).alias("_lo"), F.max(rank).alias("_hi"))
-    edge = (ties.join(F.broadcast(ends), "_range").where((F.col("_first") == F.col("_lo")) | (F.col("_last") == F.col("_hi")))
-            .groupBy(value_col).agg(F.min("_first").alias("_from"), F.max("_last").alias("_to")))
-    ties = ties.join(F.broadcast(edge), value_col, "left").select(
-        "_range", value_col, ((F.coalesce("_from", "_first") + F.coalesce("_to", "_last")) / F.lit(2.0)).alias(out_col))
-    out = ranked.join(ties, ["_range", value_col], "inner").drop("_range")
+    out = tie_spans(df, value_col, key_cols, rank, "_first", "_last", descending is not None)
+    out = out.withColumn(out_col, (F.col("_first") + F.col("_last")) / F.lit(2.0)).drop("_first", "_last")
     return out if descending else out.drop(rank)
 
 
