@@ -31,6 +31,8 @@ MODEL = "piece_bpe_32k.model"
 #: Log weight of a byte piece, far below any spelled piece.
 BYTE_WEIGHT = -40.0
 _SLOTS = 1 << 19
+#: Ids that are decoded together.
+RUN = 500_000
 _loaded: dict = {}
 
 
@@ -252,20 +254,24 @@ def decode(df: DataFrame, keep: list[str], ids: str = "ids", path: str | None =
     def run(batches):
         v = vocabulary(path, 1.0)
         for batch in batches:
-            column = batch.column(width)
-            lists = column.fill_null([]) if column.null_count else column
-            flat, first = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            flat, first = flat[first[0]:first[-1]], (first - first[0]).astype(np.int64)
-            size = v.length[flat]
-            data = v.flat[ragged(v.first[flat], size)]
-            off = np.concatenate([[0], np.cumsum(size)])[first]
-            lead = np.diff(off) > 0  # the leading space goes
-            data = np.delete(data, off[:-1][lead])
-            off = off - np.concatenate([[0], np.cumsum(lead)])
-            text = pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
-            if column.null_count:
-                text = pa.compute.if_else(column.is_null(), pa.scalar(None, pa.large_string()), text)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], text.cast(pa.string())], names=schema.names)
+            count = batch.column(width).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            behind = np.concatenate([[0], np.cumsum(count)])
+            row = 0
+            while row < batch.num_rows:  # runs of whole rows with about RUN ids, so memory doesn't follow the batch
+                end = max(row + 1, int(np.searchsorted(behind, behind[row] + RUN, "right")) - 1)
+                part = batch.slice(row, end - row)
+                lists, row = part.column(width), end
+                flat, first = lists.flatten().to_numpy(zero_copy_only=False), behind[row - part.num_rows:row + 1] - behind[row - part.num_rows]
+                size = v.length[flat]
+                data = v.flat[ragged(v.first[flat], size)]
+                off = np.concatenate([[0], np.cumsum(size)])[first]
+                lead = np.diff(off) > 0  # the leading space goes
+                data = np.delete(data, off[:-1][lead])
+                off = (off - np.concatenate([[0], np.cumsum(lead)])).astype(np.int64)
+                text = pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(off), pa.py_buffer(data)])
+                if lists.null_count:
+                    text = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.large_string()), text)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(width)], text.cast(pa.string())], names=schema.names)
 
     return df.select(*keep, ids).mapInArrow(run, schema)
 
