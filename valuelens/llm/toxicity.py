@@ -23,7 +23,7 @@ from .textnum import Chunk, chunks, shingles
 
 #: Bounds of the fit: rows of each label, and the longest text in it, in bytes.
 FIT_ROWS, FIT_BYTES = {1: 3000, 0: 9000}, 20_000
-WINDOW, LEVEL, DICT_BYTES, BASE_BYTES = 96, 12, 4096, 4096
+WINDOW, LEVEL, DICT_BYTES, BASE_BYTES = 96, 13, 3072, 4096
 #: Words that tell a class: at most TYPICAL, with a likelihood-ratio statistic of G2 or more.
 TYPICAL, G2, LEAST_TYPICAL = 256, 25.0, 16
 #: Margins (bytes) at which a text's windows are counted.
