@@ -35,6 +35,8 @@ SEQUENCE, END = 2048, 1
 GROUP, REMEMBERED, SLOTS = 512, 1_200_000, 1 << 21
 #: Ids of sequences: group * SPAN + number in the group.
 SPAN = 1 << 32
+#: Bytes of text whose words are looked up together.
+CHUNK = 2 << 20
 
 
 def differencing(size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +195,7 @@ def cut_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
     def run(batches):
         encode = word_ids(path)
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(1), CHUNK):
                 ids, first = encode(c)
                 n = np.diff(first)
                 tail = n - n % sequence

@@ -31,8 +31,8 @@ MODEL = "piece_bpe_32k.model"
 #: Log weight of a byte piece, far below any spelled piece.
 BYTE_WEIGHT = -40.0
 _SLOTS = 1 << 19
-#: Ids that are decoded together.
-RUN = 500_000
+#: Bytes of text that share lattices, and ids that are decoded together.
+CHUNK, RUN = 2 << 20, 500_000
 _loaded: dict = {}
 
 
@@ -235,7 +235,7 @@ def encode(df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "tex
         v = vocabulary(path, alpha)
         for batch in batches:
             seeds, nulls = (batch.column(width + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for c in chunks(batch.column(width + 2)):
+            for c in chunks(batch.column(width + 2), CHUNK):
                 rows = slice(c.first, c.first + c.n)
                 ids, first = sample_ids(c, seeds[rows].astype(np.int64).view(np.uint64), v)
                 raw = ids.astype("<u4").tobytes()

@@ -22,11 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, table, utf8
+from .common import drop_stage, stage, table, utf8
 from .graph import in_units, whole_units
 from .textnum import U64, Chunk, chunks, mix, ragged, sums
 
@@ -214,16 +214,21 @@ def _bodies(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
 def spans_by_text(texts: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """tkey, list of (place, seg, wins): segments with repeated windows of each text (wins null: all of them)."""
-    value, both = Window.partitionBy("value"), Window.partitionBy("value", "seg")
-    found = (segment_rows(texts.where(F.octet_length("text") >= span), span, gram)
-             .withColumn("_twice", F.sum("c").over(both) > 1)
-             .withColumns({"_lo": F.min("seg").over(value), "_hi": F.max("seg").over(value), "_all": F.min("_twice").over(value)})
-             .where("_twice OR _lo <> _hi")
-             .select("value", "seg", "tkey", "place", F.col("_twice").alias("twice"), (~F.col("_all") & (F.col("_lo") != F.col("_hi"))).alias("mixed")))
-    found = stage(found, "segments")
+    every = stage(segment_rows(texts.where(F.octet_length("text") >= span), span, gram), "segments")
+    # sums are taken before the shuffle, and joins may be split: a value that a third of all segments share is no one's task
+    values = every.groupBy("value").agg(F.sum("c").alias("total"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("total > 1")
+    met = stage(every.join(values, "value").select("value", "seg", "tkey", "place", "c", (F.col("lo") != F.col("hi")).alias("differ")), "met")
+    drop_stage(every)
+    kinds = met.groupBy("value", "seg").agg(F.sum("c").alias("n"), F.max("differ").alias("differ"))
+    differ = kinds.where("differ").groupBy("value").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("least = 1")
+    flags = kinds.join(differ, "value", "left").select(
+        "value", "seg", (F.col("n") > 1).alias("twice"), F.col("kinds").isNotNull().alias("mixed"),
+        (F.coalesce("kinds", F.lit(0)) > (HOT if hot is None else hot)).alias("hot"))
+    found = stage(met.drop("c", "differ").join(flags, ["value", "seg"]), "repeats")
+    drop_stage(met)
     whole = found.where("twice").select("tkey", "place", "seg", F.lit(None).cast("array<int>").alias("wins"))
-    wanted = found.where("mixed").groupBy("value", "seg").agg(F.min(F.struct("tkey", "place")).alias("at"))
-    wanted = wanted.select("value", "seg", "at.*", (F.count(F.lit(1)).over(value) > F.lit(HOT if hot is None else hot)).alias("hot"))
+    wanted = (found.where("mixed").groupBy("value", "seg").agg(F.min(F.struct("tkey", "place")).alias("at"), F.max("hot").alias("hot"))
+              .select("value", "seg", "at.*", "hot"))
     bodies = stage(_bodies(texts, wanted, span), "bodies")
     part = repeated_windows(bodies.where("NOT hot"), span, gram).unionByName(hashed_windows(bodies.where("hot"), span))
     part = found.where("mixed AND NOT twice").join(part, ["value", "seg"]).select("tkey", "place", "seg", "wins")
