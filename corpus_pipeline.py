@@ -38,13 +38,12 @@ def weak_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar ones, the one with the least doc_id; of rows that repeat it one stays.
 
-    Documents without doc_id are compared like the rest; one of a class of these stays.
+    Documents without doc_id come last in a class; one of a class of these stays. Rows of
+    one doc_id with different texts are different documents.
     """
-    rows = stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
-    # the class of a row is its least (doc_id, row), so that every class keeps one row
-    named = rows.withColumn("name", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "row"))
-    classes = ngram_join.join_similar(named, "name").where("name = class_id").select(F.col("name.row").alias("row"))
-    return rows.join(classes, "row").select(*COLUMNS)
+    named = docs.select(*COLUMNS).withColumn("name", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("text")))
+    kept = ngram_join.join_similar(named, "name").where("name = class_id").select("name").distinct()
+    return named.join(kept, "name").dropDuplicates(["name"]).select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
