@@ -72,12 +72,14 @@ def map_texts(df: DataFrame, text: str, keep: list[str], new: str, per_chunk: Ca
     added = T.StructType.fromDDL(new)
     schema = T.StructType([df.schema[c] for c in keep] + list(added))
     to_arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in added])
+    columns = list(dict.fromkeys([*keep, text]))  # a text that is kept is sent once
+    body = columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for chunk in chunks(batch.column(len(keep))):
+            for chunk in chunks(batch.column(body)):
                 old = [batch.column(i).slice(chunk.first, chunk.n) for i in range(len(keep))]
                 got = [pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(per_chunk(chunk), to_arrow.types, strict=True)]
                 yield pa.RecordBatch.from_arrays(old + got, names=schema.names)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(run, schema)

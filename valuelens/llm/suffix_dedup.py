@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import drop_stage, stage, table, utf8
 from .graph import in_units, whole_units
-from .textnum import U64, Chunk, chunks, mix, ragged, sums
+from .textnum import U64, Chunk, chunks, column_bytes, mix, ragged, sums
 
 SPAN, GRAM = 200, 32
 #: Different segments of one anchor value in one collection.
@@ -145,9 +145,8 @@ def repeated_windows(bodies: DataFrame, span: int, gram: int) -> DataFrame:
             rows = pa.array(np.flatnonzero(once))
             value, seg, place = value[once], seg[once], place[once]
             anchor, windows = place & 1023, (place >> 10) & 1023
-            body = t.column(3).take(rows)
-            c = next(chunks(body.combine_chunks() if isinstance(body, pa.ChunkedArray) else body, 1 << 62)) if len(value) <= 20_000 else None
-            data, first = (c.data, c.off) if c else _joined(body)
+            data, first = column_bytes(t.column(3).take(rows))
+            data, first = data[first[0]:first[-1]], first - first[0]
             bucket = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]]))
             hit = column_sort(bucket, anchor, windows, data, first, span, gram)
             far, i = np.nonzero(hit)
@@ -160,11 +159,6 @@ def repeated_windows(bodies: DataFrame, span: int, gram: int) -> DataFrame:
     return in_units(bodies.select("value", "seg", "place", "body"), ["value"], ["seg"]).mapInArrow(run, "value long, seg long, wins array<int>")
 
 
-def _joined(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(c.data, np.diff(c.off)) for c in chunks(body.combine_chunks() if isinstance(body, pa.ChunkedArray) else body)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
-
-
 def hashed_windows(bodies: DataFrame, span: int) -> DataFrame:
     """The same for anchor values with very many segments: windows meet by hash, a row each."""
     def run(batches):
