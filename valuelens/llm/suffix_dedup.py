@@ -209,15 +209,16 @@ def _bodies(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 def spans_by_text(texts: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """tkey, list of (place, seg, wins): segments with repeated windows of each text (wins null: all of them)."""
     every = stage(segment_rows(texts.where(F.octet_length("text") >= span), span, gram), "segments")
-    # sums are taken before the shuffle, and joins may be split: a value that a third of all segments share is no one's task
-    values = every.groupBy("value").agg(F.sum("c").alias("total"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("total > 1")
+    # sums are taken before the shuffle; both sides of the joins are stored, so that Spark may split them: a value that a
+    # third of all segments share is no one's task
+    values = stage(every.groupBy("value").agg(F.sum("c").alias("total"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("total > 1"), "values")
     met = stage(every.join(values, "value").select("value", "seg", "tkey", "place", "c", (F.col("lo") != F.col("hi")).alias("differ")), "met")
     drop_stage(every)
     kinds = met.groupBy("value", "seg").agg(F.sum("c").alias("n"), F.max("differ").alias("differ"))
     differ = kinds.where("differ").groupBy("value").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("least = 1")
-    flags = kinds.join(differ, "value", "left").select(
+    flags = stage(kinds.join(differ, "value", "left").select(
         "value", "seg", (F.col("n") > 1).alias("twice"), F.col("kinds").isNotNull().alias("mixed"),
-        (F.coalesce("kinds", F.lit(0)) > (HOT if hot is None else hot)).alias("hot"))
+        (F.coalesce("kinds", F.lit(0)) > (HOT if hot is None else hot)).alias("hot")), "flags")
     found = stage(met.drop("c", "differ").join(flags, ["value", "seg"]), "repeats")
     drop_stage(met)
     whole = found.where("twice").select("tkey", "place", "seg", F.lit(None).cast("array<int>").alias("wins"))
