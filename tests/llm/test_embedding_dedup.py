@@ -57,6 +57,39 @@ def test_repeated_rows_and_empty_table(spark):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def clustered(n, pairs, cosine, mutual, dim=64, seed=0):
+    """n vectors of one cluster; the first ``pairs`` have one partner each at ``cosine`` next to them."""
+    rng = np.random.default_rng(seed)
+    x = np.sqrt(1 - mutual) * E._unit(rng.normal(size=(n, dim))) + np.sqrt(mutual) * E._unit(rng.normal(size=(1, dim)))
+    x = E._unit(x)
+    a, o = x[:pairs], rng.normal(size=(pairs, dim))
+    o = E._unit(o - (o * a).sum(1, keepdims=True) * a)
+    x[pairs:2 * pairs] = cosine * a + np.sqrt(1 - cosine ** 2) * o
+    return x.astype(np.float32)
+
+
+def test_pairs_inside_a_dense_cluster(spark):
+    """Isolated pairs among 20,000 vectors of mutual cosine 0.85, where one round of passes misses a tenth of them."""
+    x = clustered(20_000, 500, 0.955, 0.85)
+    unit = E._unit(x.astype(float))
+    links = [int(k) - 1 for i in range(0, len(x), 2000) for k in (unit[i:i + 2000] @ unit.T >= 0.95).sum(1)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = {r.vec_id: r.n_links for r in E.near_duplicates(df).collect()}
+    assert len(out) == len(x) and all(out[i] <= k for i, k in enumerate(links))
+    assert sum(out.values()) >= 0.999 * sum(links)
+
+
+def test_all_pairs_where_passes_cost_more(spark):
+    """A table so small that a round compares as much as all pairs: nothing is left to chance."""
+    x = clustered(1500, 200, 0.955, 0.9, dim=16)
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert E.candidates(df.selectExpr("vec_id AS uid", "16 AS dim", "CAST(embedding AS array<double>) AS embedding"), 0.95, 4, 48, 0.999) is None
+    out = {r.vec_id: r.n_links for r in E.near_duplicates(df, passes=4, window=48).collect()}
+    unit = E._unit(x.astype(float))
+    assert [out[i] for i in range(len(x))] == ((unit @ unit.T >= 0.95).sum(1) - 1).tolist()
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_oracle(spark, sf):
     ok, said = compare(spark, duckdb_connection(sf), sf, R.queries()["op7_sorted_projections"], R.oracle_sql()["op7_sorted_projections"])
