@@ -85,6 +85,29 @@ def test_runs():
     assert J.runs_for(0.999, 1) == 7 and J.runs_for(0.999, 2) == 11
 
 
+def test_isolated_pairs_of_shared_passages(spark, docs, monkeypatch):
+    """Pairs whose every passage is in a fifth of all texts split down to the last level; 11 runs lose some of them."""
+    monkeypatch.setattr(J, "BUCKET", 4)
+    rng = np.random.default_rng(8)
+    passages = [" ".join("p%dw%d" % (k, w) for w in range(30)) for k in range(60)]
+    rows, pairs = [], 500
+    for i in range(2000):
+        chosen = np.sort(rng.choice(60, 11, replace=False))
+        rows.append((2 * i, " ".join(passages[k] for k in chosen)))
+        if i < pairs:  # 292 of 360 shingles are shared
+            other = chosen.copy()
+            other[5] = rng.choice(np.setdiff1d(np.arange(60), chosen))
+            rows.append((2 * i + 1, " ".join(passages[k] for k in other)))
+    out = {r.doc_id: r.class_id for r in J.join_similar(docs(rows)).collect()}
+    assert len(out) == len(rows)
+    assert sum(out[2 * i] != out[2 * i + 1] for i in range(pairs)) <= (1 - J.TARGET) * pairs
+
+
+def test_runs_reach_the_target_at_every_level():
+    runs = J.runs_to_depth()
+    assert max(J.missed(runs, level) for level in range(1, J.DEPTH + 1)) <= 1 - J.TARGET < J.missed(runs - 1)
+
+
 def test_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").orderBy("doc_id").collect()]

@@ -6,7 +6,8 @@ Jaccard similarity says. In a run, every text follows the tokens that a hash of
 path chooses, 1 / LAMBDA of them on average; texts on one path share its tokens. Paths
 with few texts are buckets whose pairs are compared at once; fuller paths go on, down to
 DEPTH tokens, where what is left is compared in blocks. Runs repeat until a similar pair
-that must split to level RECALL_LEVEL meets with the target probability.
+meets with the target probability even if its paths are full down to DEPTH, the spread of
+the min-hash included.
 
 Pairs of like tokens unite into candidate components. Their texts, each read once, are
 then compared exactly, all pairs in blocks, so the number of links is exact inside a
@@ -31,7 +32,7 @@ LEAST, WIDTH = 0.8, 5
 PLACES, LAMBDA, DEPTH = 64, 0.8, 4
 #: A path with more texts goes on; texts in a block of the deepest paths.
 BUCKET, BLOCK = 64, 512
-TARGET, RECALL_LEVEL = 0.999, 2
+TARGET = 0.999
 #: Pairs whose tokens agree less are not candidates: five standard deviations below LEAST.
 CANDIDATE = 0.5
 #: Shingles and texts in a block of the exact comparison.
@@ -40,12 +41,31 @@ BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 512
 _NONE = np.uint32(0xFFFFFFFF)
 
 
-def runs_for(target: float = TARGET, level: int = RECALL_LEVEL, share: float = LEAST / LAMBDA) -> int:
-    """Runs until a pair that shares ``share`` chosen tokens a step, on average, meets at ``level`` with probability ``target``."""
+def _meets(level: int, share: float) -> float:
+    """Probability that a pair which shares ``share`` chosen tokens a step, on average, meets at ``level`` in a run."""
     q = 1.0
     for _ in range(level):
         q = 1 - math.exp(-share * q)
-    return math.ceil(math.log(1 - target) / math.log(1 - q))
+    return q
+
+
+def runs_for(target: float = TARGET, level: int = DEPTH, share: float = LEAST / LAMBDA) -> int:
+    """Runs until a pair that shares ``share`` chosen tokens a step, on average, meets at ``level`` with probability ``target``."""
+    return math.ceil(math.log(1 - target) / math.log(1 - _meets(level, share)))
+
+
+def missed(runs: int, level: int = DEPTH, least: float = LEAST) -> float:
+    """Share of pairs of similarity ``least`` that no run brings together at ``level``; a pair's shared places are binomial."""
+    at = [(math.comb(PLACES, k) * least ** k * (1 - least) ** (PLACES - k), _meets(level, k / PLACES / LAMBDA)) for k in range(PLACES + 1)]
+    return sum(p * (1 - q) ** runs for p, q in at)
+
+
+def runs_to_depth(target: float = TARGET, least: float = LEAST) -> int:
+    """Least runs with which ``target`` of the pairs of similarity ``least`` meet at DEPTH."""
+    runs = runs_for(target, share=least / LAMBDA)
+    while missed(runs, least=least) > 1 - target:
+        runs += 1
+    return runs
 
 
 def signatures(c: Chunk) -> list:
@@ -219,7 +239,7 @@ def join_similar(df: DataFrame, key: str = "doc_id", text: str = "text", least:
                      .where("n_shingles > 0"), "sketches")
     texts = stage(sketched.groupBy("rec").agg(F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.min("id").alias("least_id"),
                                               F.count(F.lit(1)).alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "texts")
-    found = components(candidates(buckets(texts, runs_for(target)), texts), "uid", "root")
+    found = components(candidates(buckets(texts, runs_to_depth(target, least)), texts), "uid", "root")
     members = texts.select("uid", "rec", "least_id", "copies", "n_shingles").join(found.select(F.col("node").alias("uid"), "component"), "uid")
     # of equal texts the row with the least key is read; rows that repeat it are dropped behind the join
     read = (members.join(base.where(F.col("text").isNotNull()).withColumnsRenamed({"rec": "rec2"}), (F.col("rec") == F.col("rec2")) & F.col("least_id").eqNullSafe(F.col("id")))
