@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, line_crf, ngram_join, packing, piece_sampling, quality_rules, sharding, suffix_dedup, toxicity, url_filter
-
-_MODULES = [sharding, url_filter, ngram_join, toxicity, piece_sampling, quality_rules, embedding_dedup, suffix_dedup, packing, line_crf]
+from . import (
+    divergence,
+    embedding_dedup,
+    fair_mix,
+    line_crf,
+    merkle,
+    ngram_join,
+    packing,
+    piece_sampling,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
+
+_MODULES = [sharding, url_filter, ngram_join, toxicity, piece_sampling, quality_rules, embedding_dedup, suffix_dedup, packing, line_crf, fair_mix, merkle, divergence]
 
 
 def pipeline(spark, sf_dir):
