@@ -20,7 +20,7 @@ def test_margin_job_invariants(spark, tmp_path):
     orders = tables.orders_fixture(spark, SF)
     customers = tables.customers_fixture(spark, SF, orders)
     r = jobs.margin_job(spark, orders, customers, snapshot_dates=MARGIN_DATES, selection="1998-06-30",
-                        calibration="1999-06-30", test="2000-06-30", rounds=4, quantile_rounds=2,
+                        calibration="1999-06-30", test="2000-06-30", rounds=4,
                         with_importance=True, output_dir=str(tmp_path / "out"))
     m = r.metrics
     assert set(m) >= {"data", "split", "model_selection", "holdout", "interval_calibration", "decision_evidence"}
@@ -45,16 +45,41 @@ def test_margin_job_invariants(spark, tmp_path):
     doc = json.loads((tmp_path / "out" / "metrics.json").read_text())
     assert list(doc) == sorted(doc) and "holdout" in doc
     assert spark.read.json(str(tmp_path / "out" / "metrics")).count() > 20
+    assert m["data"]["orders"] == orders.count() and m["split"]["selection_snapshot"] == "1998-06-30"
+    assert [c["chosen"] for c in m["model_selection"]["candidates"].values()].count(True) == 1
+    # the stored model scores as the fitted one did, and an unfinished version is not loaded
+    from valuelens.operators import models as md
+    from valuelens.operators.scoring import MARGIN_NAMES as N
+    folder = str(tmp_path / "out" / "model")
+    os.makedirs(tmp_path / "out" / "model" / "v7")
+    model = md.TwoPartModel.load(spark, folder)
+    assert model.facts["data_fingerprint"] == m["data"]["fingerprint"] and len(model.classifier.trees) == 4
+    test = r.tables["snapshots"].where("snapshot_date = DATE '2000-06-30'")
+    again = md.predict(model, test, N, model.facts["interval_calibration"]["correction"])
+    cols = [N["pred"], N["prob"], N["lower"], N["upper"], N["lower_raw"], N["upper_raw"]]
+    both = again.select("customer_id", *cols).exceptAll(scored.select("customer_id", *cols))
+    assert again.count() == n and both.count() == 0
+    assert model.save(spark, folder).endswith("/v8")
+    with pytest.raises(FileNotFoundError):
+        md.TwoPartModel.load(spark, folder, version=7)
+
+
+def test_first_minimum_wins():
+    from valuelens.operators.models import first_minimum
+    assert first_minimum([0.5, 0.3, 0.3]) == 1 and first_minimum([0.3, 0.3, 0.1]) == 2 and first_minimum([0.2]) == 0
 
 
 def test_revenue_job_invariants(spark):
     tx = tables.transactions_fixture(spark, SF)
     r = jobs.revenue_job(spark, tx, snapshot_dates=REVENUE_DATES, selection="1998-07-01",
                          calibration="1999-07-01", test="2000-07-01", bootstrap_iterations=200, rounds=4,
-                         quantile_rounds=2, with_importance=False)
+                         with_importance=False)
     m = r.metrics
     assert m["interval_calibration"]["calibrated_coverage"] >= 0.8 - 1e-12
-    boot = m["bootstrap_comparison"]
+    assert m["bootstrap_comparison"]["iterations"] == 200 and m["data"]["lookback_coverage"]["all_snapshots_complete"]
+    assert m["data"]["usable_rows"] == tx.count() and m["split"]["test_snapshot"] == "2000-07-01"
+    assert set(m["decision_evidence"]) == {f"{w}_top_{p}_value_capture" for w in ("model", "baseline") for p in (10, 20)}
+    boot = m["bootstrap_comparison"]["metrics"]
     assert set(boot) == {"wape_difference", "spearman_difference", "top_10_capture_difference",
                          "top_20_capture_difference"}
     for v in boot.values():
@@ -75,20 +100,6 @@ def test_ingest_job_quality(spark, tmp_path):
     assert set(q["source_sheets"]) == {"early", "late"}
 
 
-def test_quantile_booster_equals_its_trees(spark):
-    """One Arrow pass gives what MLlib's own leaf columns give tree by tree."""
-    from pyspark.ml.linalg import Vectors
-    from pyspark.sql import functions as F
-    from valuelens.operators import models as md
-    rows = [(Vectors.dense([float(i % 17), float((i * 7) % 23)]), float((i % 17) * 3 + (i * i) % 11)) for i in range(300)]
-    df = spark.createDataFrame(rows, ["features", "y"])
-    model = md.fit_quantile_booster(df, "y", 0.9, 12, 0.2, 3, 5)
-    out = model.predict(df, "q").select("y", "q").toPandas()
-    assert 0.85 <= (out.y <= out.q).mean() <= 0.97
-    flat = md.fit_quantile_booster(df, "y", 0.9, 0, 0.2, 3, 5)
-    assert flat.predict(df, "q").agg(F.countDistinct("q")).first()[0] == 1
-
-
 def test_nulls_first_seen_at_scoring_take_the_median(spark):
     from valuelens.operators.preprocess import numeric_medians, preprocess
     fit = spark.createDataFrame([("a", 1, "x", 1.0, None), ("b", 1, "x", 3.0, None)], "customer_id string, snapshot_date int, c string, v double, w double")

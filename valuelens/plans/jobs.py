@@ -89,15 +89,39 @@ def _stage(df: DataFrame, output_dir: str | None, name: str, partition_by=()) ->
     return materialize(df, name)
 
 
+def _split_section(counts: Mapping, selection, calibration, test) -> dict:
+    dates = {f"{k}_snapshot": str(v)[:10] for k, v in (("selection", selection), ("calibration", calibration), ("test", test))}
+    return {f"{k}_rows": v for k, v in counts.items()} | dates
+
+
+def _selection_section(chosen: Mapping, candidates: DataFrame) -> dict:
+    rows = {str(r["candidate"]): {k: v for k, v in r.asDict().items() if k != "candidate"} for r in candidates.collect()}     # one row per candidate
+    return {"selected_parameters": dict(chosen), "candidates": rows}
+
+
+def _data_section(transactions: DataFrame, quality: DataFrame | None, snapshot_dates, lookback_days: int) -> dict:
+    """Audit of the transactions, of their source if its report is given, and how far back they reach at each date."""
+    own = _first_row(ct.canonical_quality(transactions))
+    source = _first_row(quality) if quality is not None else {}
+    if source:
+        own.update({k: source[k] for k in ("source_rows", "exact_duplicate_rows", "missing_customer_rows", "excluded_rows") if k in source})
+        own["other_invalid_rows_excluded"] = source["excluded_rows"] - source["missing_customer_rows"]
+    reach = {r["snapshot_date"].isoformat(): r for r in ct.lookback_coverage(transactions, snapshot_dates, lookback_days).collect()}     # one row per date
+    own["lookback_coverage"] = {"required_days": int(lookback_days), "minimum_available_days": min(r["available_days"] for r in reach.values()),
+                                "all_snapshots_complete": all(r["complete"] for r in reach.values()),
+                                "available_days_by_snapshot": {d: r["available_days"] for d, r in reach.items()}}
+    return own
+
+
 def _model_stage(snapshots: DataFrame, names, categorical, numeric, selection, calibration, test,
-                 candidates, rounds, quantile_rounds, seed, target_coverage, output_dir):
+                 candidates, rounds, target_coverage, output_dir):
     roles = sp.with_role(snapshots, selection, calibration, test)
     split_counts = sp.check_split(roles)
     train, sel = sp.part(roles, "train"), sp.part(roles, "selection")
     chosen, cand_table = md.select_candidate(train, sel, categorical, numeric, names["actual"], names["active"],
-                                             candidates, rounds, seed)
+                                             candidates, rounds)
     model = md.fit_two_part(sp.part(roles, "train", "selection"), categorical, numeric, names["actual"],
-                            names["active"], chosen, rounds, quantile_rounds, seed)
+                            names["active"], chosen, rounds)
     cal_pred = _stage(md.predict(model, sp.part(roles, "calibration"), names), output_dir, "calibration_scores")
     calib = _first_row(conformal_correction(cal_pred, names["actual"], names["lower_raw"], names["upper_raw"],
                                             KEYS, target_coverage))
@@ -132,19 +156,20 @@ def _importance(model, test_frame, names, features, categorical, seed):
 def margin_job(spark: SparkSession, orders: DataFrame, customers: DataFrame, *, snapshot_dates: Sequence,
                selection: str, calibration: str, test: str, lookback_days: int = 365, horizon_days: int = 180,
                annual_discount_rate: float = 0.10, interval_target_coverage: float = 0.80,
-               policy: Mapping = pol.DEFAULT_POLICY, rounds: int = md.MAX_ITER, quantile_rounds: int | None = None,
+               policy: Mapping = pol.DEFAULT_POLICY, rounds: int = md.MAX_ITER,
                seed: int = 42, with_importance: bool = True, output_dir: str | None = None) -> JobResult:
     _check_common(snapshot_dates, selection, calibration, test, lookback_days, horizon_days, interval_target_coverage)
     pol.check_policy(policy)
     ensure_checkpoint_dir(spark)
     names = MARGIN_NAMES
+    sizes = {"customers": customers.count(), "orders": orders.count()}
     snaps = sm.margin_snapshots(customers, orders, snapshot_dates, lookback_days, horizon_days, annual_discount_rate)
     snaps = _stage(snaps, output_dir, "customer_snapshots", ["snapshot_date"])
     ct.validate_snapshots(snaps, snapshot_dates)
     fp = _first_row(ig.fingerprint(snaps))
     roles, counts, chosen, cand, model, calib, test_frame, pred = _model_stage(
         snaps, names, sm.MARGIN_CATEGORICAL, sm.MARGIN_NUMERIC, selection, calibration, test,
-        md.MARGIN_CANDIDATES, rounds, quantile_rounds, seed, interval_target_coverage, output_dir)
+        md.MARGIN_CANDIDATES, rounds, interval_target_coverage, output_dir)
     scored = pred.withColumn(names["baseline"], margin_baseline())
     scored = _stage(scored, output_dir, "test_predictions")
     evaluation = _evaluate(scored, names)
@@ -164,9 +189,9 @@ def margin_job(spark: SparkSession, orders: DataFrame, customers: DataFrame, *,
     if with_importance:
         tables["importance"] = _stage(_importance(model, test_frame, names, sm.MARGIN_FEATURES, sm.MARGIN_CATEGORICAL, seed), None, "importance")
     metrics = {
-        "data": {"snapshot_rows": fp["rows"], "fingerprint": fp["fingerprint"]},
-        "split": {f"{k}_rows": v for k, v in counts.items()},
-        "model_selection": {"selected_parameters": chosen},
+        "data": {**sizes, "snapshot_rows": fp["rows"], "fingerprint": fp["fingerprint"]},
+        "split": _split_section(counts, selection, calibration, test),
+        "model_selection": _selection_section(chosen, cand),
         "holdout": evaluation,
         "interval_calibration": {**calib, **impact},
         "decision_evidence": {
@@ -178,18 +203,20 @@ def margin_job(spark: SparkSession, orders: DataFrame, customers: DataFrame, *,
     }
     result = JobResult(metrics, tables)
     if output_dir:
-        _write_outputs(result, output_dir, {"model_type": "two-part gradient boosting (MLlib)",
-                                            "target": "signed 180-day discounted contribution margin",
+        _save_model(spark, model, output_dir, sm.MARGIN_FEATURES, metrics["interval_calibration"], fp["fingerprint"])
+        _write_outputs(result, output_dir, {"model_type": "activity and conditional value, histogram boosting",
+                                            "target": "discounted margin in the horizon, with its sign",
                                             "features": sm.MARGIN_FEATURES, "selected_parameters": chosen,
-                                            "interval_calibration": calib, "data_fingerprint": fp["fingerprint"]})
+                                            "interval_calibration": metrics["interval_calibration"], "data_fingerprint": fp["fingerprint"]})
     return result
 
 
 def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates: Sequence, selection: str,
                 calibration: str, test: str, lookback_days: int = 365, horizon_days: int = 180,
                 interval_target_coverage: float = 0.80, bootstrap_iterations: int = 1000, rounds: int = md.MAX_ITER,
-                quantile_rounds: int | None = None, seed: int = 42, with_importance: bool = True,
+                seed: int = 42, with_importance: bool = True, quality: DataFrame | None = None,
                 output_dir: str | None = None) -> JobResult:
+    """``quality`` is the one-row report of ``ingest_job``; with it the data section has the source's counters too."""
     _check_common(snapshot_dates, selection, calibration, test, lookback_days, horizon_days, interval_target_coverage)
     if int(bootstrap_iterations) < MIN_ITERATIONS:
         raise ValueError(f"bootstrap_iterations must be at least {MIN_ITERATIONS}")
@@ -202,7 +229,7 @@ def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates:
     fp = _first_row(ig.fingerprint(snaps))
     roles, counts, chosen, cand, model, calib, test_frame, pred = _model_stage(
         snaps, names, sr.REVENUE_CATEGORICAL, sr.REVENUE_NUMERIC, selection, calibration, test,
-        md.REVENUE_CANDIDATES, rounds, quantile_rounds, seed, interval_target_coverage, output_dir)
+        md.REVENUE_CANDIDATES, rounds, interval_target_coverage, output_dir)
     scored = pred.withColumn(names["baseline"], revenue_baseline())
     scored = _stage(ev.assign_deciles(scored, names["pred"], KEYS), output_dir, "test_predictions")
     evaluation = _evaluate(scored, names)
@@ -217,12 +244,15 @@ def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates:
     if with_importance:
         tables["importance"] = _stage(_importance(model, test_frame, names, sr.REVENUE_FEATURES, sr.REVENUE_CATEGORICAL, seed), None, "importance")
     metrics = {
-        "data": {"snapshot_rows": fp["rows"], "snapshot_fingerprint": fp["fingerprint"]},
-        "split": {f"{k}_rows": v for k, v in counts.items()},
-        "model_selection": {"selected_parameters": chosen},
+        "data": {**_data_section(transactions, quality, snapshot_dates, lookback_days), "snapshot_rows": fp["rows"], "snapshot_fingerprint": fp["fingerprint"]},
+        "split": _split_section(counts, selection, calibration, test),
+        "model_selection": _selection_section(chosen, cand),
         "holdout": evaluation,
-        "bootstrap_comparison": {r["metric"]: {k: v for k, v in r.asDict().items() if k != "metric"}
-                                 for r in boot.collect()},
+        "bootstrap_comparison": {"iterations": int(bootstrap_iterations), "method": "customers drawn with replacement, the same draws for model and baseline",
+                                 "metrics": {r["metric"]: {k: v for k, v in r.asDict().items() if k != "metric"} for r in boot.collect()}},
+        "decision_evidence": {f"{who}_top_{p}_value_capture": evaluation[who][f"top_{p}_value_capture"] for p in (10, 20) for who in ("model", "baseline")},
+        "publication_guardrail": {"row_level_output_published": False, "target": "signed net revenue in the horizon",
+                                  "not_available": "contribution margin, cost of treatment, causal effect"},
         "interval_calibration": calib,
         "conditional_interval": {
             "highest_value_decile_coverage": top["calibrated_coverage"] if top else None,
@@ -234,6 +264,7 @@ def revenue_job(spark: SparkSession, transactions: DataFrame, *, snapshot_dates:
         published = {k: v for k, v in tables.items() if k in ("value_by_decile", "interval_by_decile", "bootstrap", "importance")}
         for k, v in published.items():
             sinks.publish_aggregates(v, f"{output_dir.rstrip('/')}/public/{k}")
+        _save_model(spark, model, output_dir, sr.REVENUE_FEATURES, calib, fp["fingerprint"])
         _write_outputs(result, output_dir, None)
     return result
 
@@ -259,6 +290,12 @@ def ingest_job(spark: SparkSession, raw: DataFrame, output_path: str | None = No
     return canonical, report
 
 
+def _save_model(spark: SparkSession, model: md.TwoPartModel, output_dir: str, features, calibration: Mapping, fingerprint: str) -> None:
+    """the fitted model as a new version below ``model``, with what it was calibrated and fitted on."""
+    model.facts = {"features": list(features), "interval_calibration": dict(calibration), "data_fingerprint": fingerprint}
+    model.save(spark, f"{output_dir.rstrip('/')}/model")
+
+
 def _write_outputs(result: JobResult, output_dir: str, metadata: dict | None) -> None:
     base = output_dir.rstrip("/")
     for name, df in result.tables.items():

@@ -68,6 +68,14 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop_materialized(df: DataFrame) -> None:
+    """Delete the files of one ``materialize`` once nothing reads them any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cleanup_materialized(spark: SparkSession) -> None:
     """Delete the stages written by ``materialize`` (call once no DataFrame built from
     them is needed any more, e.g. at the end of a job or bench run)."""
