@@ -106,9 +106,11 @@ def in_skyband(high: np.ndarray, low: np.ndarray, name: np.ndarray, k: int) -> n
 
 
 def skyband(rows: DataFrame, k: int) -> DataFrame:
-    """Rows (lang, source, term, n, lang_n) that fewer than ``k`` of their partition dominate, partitions merged while that leaves fewer of them.
+    """Rows (lang, source, term, n, lang_n) that fewer than ``k`` of their partition dominate.
 
-    A partition is a group's terms of one hash; it has about PART rows, so no group meets in one task.
+    A partition is a group's terms of one hash; it has about PART rows, so no group meets
+    in one task. Skybands are merged in fewer partitions once, and again as long as a
+    merge halves the rows; the exact ranks need no more.
     """
     def run(batches):
         for t, first in whole_units(batches, 3):
@@ -118,12 +120,13 @@ def skyband(rows: DataFrame, k: int) -> DataFrame:
                 ok[a:b] = in_skyband(n[a:b], lang_n[a:b], np.arange(b - a), k)
             yield from t.filter(pa.array(ok)).select(["lang", "source", "term", "n", "lang_n"]).to_batches()
 
-    parts = None
+    parts, before, rounds = None, None, 0
     while True:
-        largest = rows.groupBy("lang", "source").count().agg(F.max("count")).first()[0] or 0
+        largest, total = rows.groupBy("lang", "source").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
         now = max(1, -(-largest // PART))
-        if parts is not None and now >= parts:
+        if parts is not None and (now >= parts or rounds > 1 and 2 * total > before):
             return rows
+        before, rounds = total, rounds + 1
         dealt = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(now)))
         rows = stage(in_units(dealt, ["lang", "source", "part"], ["term"]).select("lang", "source", "part", "term", "n", "lang_n")
                      .mapInArrow(run, "lang string, source string, term string, n long, lang_n long"), "skyband")
