@@ -58,7 +58,7 @@ def corpus(rng, n=60, words=80):
 
 
 def test_classes_and_links_equal_brute_force(spark, docs, monkeypatch):
-    for name, value in (("BUCKET", 8), ("BLOCK", 16), ("BLOCK_TEXTS", 7)):
+    for name, value in (("BUCKET", 8), ("BLOCK", 16), ("BLOCK_TEXTS", 7), ("DENSE_BLOCK", 16)):
         monkeypatch.setattr(J, name, value)
     rng = np.random.default_rng(5)
     texts = corpus(rng)
@@ -103,6 +103,41 @@ def test_isolated_pairs_of_shared_passages(spark, docs, monkeypatch):
     assert sum(out[2 * i] != out[2 * i + 1] for i in range(pairs)) <= (1 - J.TARGET) * pairs
 
 
+def test_isolated_pairs_among_texts_that_are_alike(spark, docs, monkeypatch):
+    """Pairs at similarity 0.8 among texts that share most of their shingles with all others: dense paths, met at once."""
+    monkeypatch.setattr(J, "BUCKET", 8)
+    monkeypatch.setattr(J, "DENSE_BLOCK", 300)
+    rng = np.random.default_rng(9)
+    base = ["b%d" % i for i in range(420)]
+    rows = []
+    for i in range(800):  # 2 * 60 / 7 apart: alike in 0.75 of the shingles
+        v = base + ["own%d_%d" % (i, k) for k in range(66)]
+        rows.append((2 * i, " ".join(v)))
+        if i < 100:
+            rows.append((2 * i + 1, " ".join(v[:-1] + ["z"])))
+    sized = []
+    step = J.next_step
+    monkeypatch.setattr(J, "next_step", lambda state, texts: sized.append(state.count()) or step(state, texts))
+    out = {r.doc_id: r.class_id for r in J.join_similar(docs(rows)).collect()}
+    assert all(out[2 * i] == out[2 * i + 1] for i in range(100)) and len(out) == len(rows)
+    assert sum(sized) < 21 * len(rows)  # the group doesn't follow itself down
+
+
+def test_dense_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(10)
+    for _ in range(20):
+        base = rng.integers(0, 2**31, (3, J.PLACES)) * 2
+        sig = base[rng.integers(0, 3, 60)].astype(np.uint32)
+        sig[rng.random(sig.shape) < rng.choice([0.1, 0.3, 0.5])] = rng.integers(0, 2**31) * 2
+        sig[rng.random(sig.shape) < 0.05] = J._NONE
+        dense = rng.random(60) < 0.5
+        full = sig != J._NONE
+        both = ((sig[:, None] == sig[None]) & full[:, None]).sum(2)
+        near = (both >= 0.5 * (full[:, None] | full[None]).sum(2)) & (dense[:, None] | dense[None])
+        i, j = np.nonzero(np.triu(near, 1))
+        assert (J.forest(60, i, j) == J.forest(60, *J.dense_links(sig, dense, 0.5))).all()
+
+
 def test_runs_reach_the_target_at_every_level():
     runs = J.runs_to_depth()
     assert max(J.missed(runs, level) for level in range(1, J.DEPTH + 1)) <= 1 - J.TARGET < J.missed(runs - 1)

@@ -4,8 +4,10 @@ A text is the set of its five-word shingles, embedded as the tokens (place, valu
 one-permutation min-hash: two texts share about as many of their tokens as their
 Jaccard similarity says. In a run, every text follows the tokens that a hash of run and
 path chooses, 1 / LAMBDA of them on average; texts on one path share its tokens. Paths
-with few texts are buckets whose pairs are compared at once; fuller paths go on, down to
-DEPTH tokens, where what is left is compared in blocks. Runs repeat until a similar pair
+with few texts are buckets whose pairs are compared at once. On a fuller path, the texts
+whose tokens agree with the others' in DENSE of the places on average would only follow
+each other down: they are compared with the whole path at once and leave it, and the rest
+goes on, down to DEPTH tokens, where what is left is compared in blocks. Runs repeat until a similar pair
 meets with the target probability even if its paths are full down to DEPTH, the spread of
 the min-hash included.
 
@@ -35,6 +37,8 @@ BUCKET, BLOCK = 64, 512
 TARGET = 0.999
 #: Pairs whose tokens agree less are not candidates: five standard deviations below LEAST.
 CANDIDATE = 0.5
+#: On a fuller path, texts that agree with it in so many places on average are compared with all of it; texts in a block for that.
+DENSE, DENSE_BLOCK = 0.7, 4096
 #: Shingles and texts in a block of the exact comparison.
 BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 512
 
@@ -116,20 +120,80 @@ def next_step(state: DataFrame, texts: DataFrame) -> DataFrame:
     return state.join(texts.select("uid", "sig"), "uid").select("path", "uid", "sig").mapInArrow(run, "path long, uid long")
 
 
-def buckets(texts: DataFrame, runs: int) -> DataFrame:
-    """path, n, uid: texts on the paths where recursion ends; paths of one text are left out."""
-    state, out = first_step(texts, runs), None
+def agreement(sig: np.ndarray) -> np.ndarray:
+    """Mean share of places in which each text agrees with the others."""
+    n, total = len(sig), np.zeros(len(sig))
+    for k in range(PLACES):
+        _, at, count = np.unique(sig[:, k], return_inverse=True, return_counts=True)
+        total += np.where(sig[:, k] != _NONE, count[at] - 1, 0)
+    return total / np.maximum((sig != _NONE).sum(1), 1) / max(n - 1, 1)
+
+
+def dense_links(sig: np.ndarray, dense: np.ndarray, candidate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join whatever pairs of a dense text and another one join (tokens agree in ``candidate`` of the places).
+
+    A component grows from a dense text; each of its dense texts is compared with the texts
+    that are still outside, so texts that are alike are not compared with one another.
+    """
+    full, done, one, two = sig != _NONE, np.zeros(len(sig), bool), [], []
+    for seed in np.flatnonzero(dense):
+        if done[seed]:
+            continue
+        outside = np.arange(len(sig)) != seed
+        queue = [seed]
+        done[seed] = True
+        while queue:
+            x = queue.pop()
+            rest = np.flatnonzero(outside)
+            near = rest[((sig[rest] == sig[x]) & full[x]).sum(1) >= candidate * (full[rest] | full[x]).sum(1)]
+            outside[near] = False
+            one.append(near)
+            two.append(np.full(len(near), x))
+            more = near[dense[near] & ~done[near]]
+            done[more] = True
+            queue += more.tolist()
+    return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, int), np.zeros(0, int))
+
+
+def dense_texts(fuller: DataFrame, texts: DataFrame) -> DataFrame:
+    """path, uid, root, left of the texts on fuller paths: links of the dense ones, and whether a text leaves the path.
+
+    A path of more than DENSE_BLOCK texts is dealt in pairs of blocks; a text leaves it if
+    it is dense in all its pairs, and has met everyone on the path then.
+    """
+    units = into_blocks(fuller, "path", "uid", F.ceil(F.col("n") / DENSE_BLOCK))
+    units = units.join(texts.select("uid", "sig"), "uid").select("path", "_lo", "_hi", "uid", "sig")
+
+    def run(batches):
+        for t, first in whole_units(batches, 3):
+            uid, sig = t.column(3).to_numpy(), _matrix(t.column(4))
+            root, left = uid.copy(), np.zeros(len(uid), bool)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                left[a:b] = agreement(sig[a:b]) >= DENSE
+                i, j = dense_links(sig[a:b], left[a:b], CANDIDATE)
+                root[a:b] = uid[a:b][forest(b - a, i, j)]
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(uid), pa.array(root), pa.array(left)], names=["path", "uid", "root", "left"])
+
+    return in_units(units, ["path", "_lo", "_hi"], ["uid"]).mapInArrow(run, "path long, uid long, root long, left boolean")
+
+
+def buckets(texts: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
+    """path, n, uid: texts on the paths where recursion ends, paths of one text left out; and uid, root: links of the dense texts of fuller paths."""
+    state, out, links = first_step(texts, runs), None, None
     for level in range(1, DEPTH + 1):
         state = stage(state, "paths")
         n = state.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = stage(state.join(n, "path"), "paths")
         done = sized if level == DEPTH else sized.where(F.col("n") <= BUCKET)
         out = done if out is None else out.unionByName(done)
-        more = sized.where(F.col("n") > BUCKET).select("path", "uid")
-        if level == DEPTH or more.isEmpty():
-            return out
-        state = next_step(more, texts)
-    return out
+        fuller = sized.where(F.col("n") > BUCKET)
+        if level == DEPTH or fuller.isEmpty():
+            break
+        met = stage(dense_texts(fuller, texts), "dense")
+        own = met.where("uid <> root").select("uid", "root")
+        links = own if links is None else links.unionByName(own)
+        state = next_step(met.groupBy("path", "uid").agg(F.bool_and("left").alias("left")).where(~F.col("left")).select("path", "uid"), texts)
+    return out, links
 
 
 def candidates(bucketed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,7 +303,9 @@ def join_similar(df: DataFrame, key: str = "doc_id", text: str = "text", least:
                      .where("n_shingles > 0"), "sketches")
     texts = stage(sketched.groupBy("rec").agg(F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.min("id").alias("least_id"),
                                               F.count(F.lit(1)).alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "texts")
-    found = components(candidates(buckets(texts, runs_to_depth(target, least)), texts), "uid", "root")
+    bucketed, linked = buckets(texts, runs_to_depth(target, least))
+    near = candidates(bucketed, texts)
+    found = components(near if linked is None else near.unionByName(linked), "uid", "root")
     members = texts.select("uid", "rec", "least_id", "copies", "n_shingles").join(found.select(F.col("node").alias("uid"), "component"), "uid")
     # of equal texts the row with the least key is read; rows that repeat it are dropped behind the join
     read = (members.join(base.where(F.col("text").isNotNull()).withColumnsRenamed({"rec": "rec2"}), (F.col("rec") == F.col("rec2")) & F.col("least_id").eqNullSafe(F.col("id")))
