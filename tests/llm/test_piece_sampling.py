@@ -74,3 +74,22 @@ def test_rows(spark, docs):
 def test_whole_table_is_lossless(spark):
     out = S.op5_sampled_pieces(spark, "/root/testdata/sf0.01").collect()
     assert len(out) == 1000 and all(r.lossless for r in out)
+
+
+def test_round_trip_is_encode_and_decode(spark, docs):
+    rows = [(1, "one two  three\n"), (2, None), (3, ""), (None, "é \x00 x"), (3, "again " * 300_000), (3, "again " * 300_000), (4, " lead and trail ")]
+    df = docs(rows).withColumnRenamed("lang", "n_pieces")
+    out = S.round_trip(df, ["doc_id", "n_pieces"])
+    assert out.columns == ["doc_id", "n_pieces", "_n_pieces", "ids_crc32", "lossless"]
+    one = sorted((r.doc_id or 0, r._n_pieces or 0, r.ids_crc32 or 0, r.lossless) for r in out.collect())
+    two = sorted((r.doc_id or 0, len(r.ids or []), r.ids_crc32 or 0, True) for r in S.encode(df, ["doc_id"]).collect())
+    assert one == two
+    assert S.encode(df.withColumnRenamed("source", "ids"), ["doc_id", "ids"]).columns == ["doc_id", "ids", "_ids", "ids_crc32"]
+    assert S.round_trip(docs([]), ["doc_id"]).count() == 0
+
+
+def test_spelled_texts_of_a_chunk():
+    v = S.vocabulary(None, 1.0)
+    c = next(chunks(pa.array(["abc def", "", "x"])))
+    data, off = S.spelled(*S.sample_ids(c, np.zeros(3, np.uint64), v), v)
+    assert data.tobytes() == b"abc defx" and off.tolist() == [0, 7, 7, 8]

@@ -32,7 +32,7 @@ MODEL = "piece_bpe_32k.model"
 BYTE_WEIGHT = -40.0
 _SLOTS = 1 << 19
 #: Bytes of text that share lattices, and ids that are decoded together.
-CHUNK, RUN = 2 << 20, 500_000
+CHUNK, RUN = 1 << 19, 500_000
 _loaded: dict = {}
 
 
@@ -215,20 +215,28 @@ def sample_ids(c: Chunk, seed: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.nd
     return out, first
 
 
-def _lists(ids: np.ndarray, first: np.ndarray, null: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=pa.array(null) if null.any() else None)
+def spelled(ids: np.ndarray, first: np.ndarray, v: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts that rows of ids spell (row i: ids first[i]..first[i + 1])."""
+    size = v.length[ids]
+    data = v.flat[ragged(v.first[ids], size)]
+    off = np.concatenate([[0], np.cumsum(size)])[first]
+    lead = np.diff(off) > 0  # the leading space goes
+    data = np.delete(data, off[:-1][lead])
+    return data, (off - np.concatenate([[0], np.cumsum(lead)])).astype(np.int64)
 
 
-def encode(df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", path: str | None = None, alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """``keep`` columns, ids array<int> and ids_crc32 (of little-endian 32-bit ids) of every row.
+def _crcs(ids: np.ndarray, first: np.ndarray) -> list[int]:
+    raw = ids.astype("<u4").tobytes()
+    return [zlib.crc32(raw[a:b]) for a, b in zip((first[:-1] * 4).tolist(), (first[1:] * 4).tolist(), strict=True)]
 
-    A null text has null ids and crc, an empty one no ids. Rows with one key and one text
-    (a null key is a key too) have one segmentation; an empty table gives an empty result.
-    ``keep`` must not clash with the new names; other columns are not read.
-    """
+
+def _segmented(df: DataFrame, keep: list[str], key: str, text: str, path: str | None, alpha: float, seed: int, new: str, columns) -> DataFrame:
+    """``keep`` and the ``new`` columns, the arrays that ``columns(chunk, ids, first, nulls, v)`` gives; a new name that ``keep`` has gets an underscore in front."""
     mark, null = free_name(df, "_seed"), free_name(df, "_null")
     marked = df.withColumns({mark: F.xxhash64(F.col(key), F.lit(seed)), null: F.col(text).isNull()})
-    schema = T.StructType([df.schema[c] for c in keep] + list(T.StructType.fromDDL("ids array<int>, ids_crc32 long")))
+    kept = df.select(*keep)
+    added = T.StructType([T.StructField(free_name(kept, f.name), f.dataType) for f in T.StructType.fromDDL(new)])
+    schema = T.StructType([df.schema[c] for c in keep] + list(added))
     width = len(keep)
 
     def run(batches):
@@ -238,14 +246,41 @@ def encode(df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "tex
             for c in chunks(batch.column(width + 2), CHUNK):
                 rows = slice(c.first, c.first + c.n)
                 ids, first = sample_ids(c, seeds[rows].astype(np.int64).view(np.uint64), v)
-                raw = ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(raw[a:b]) for a, b in zip((first[:-1] * 4).tolist(), (first[1:] * 4).tolist(), strict=True)]
                 old = [batch.column(i).slice(c.first, c.n) for i in range(width)]
-                yield pa.RecordBatch.from_arrays([*old, _lists(ids, first, nulls[rows]), pa.array(crc, pa.int64(), mask=nulls[rows])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*old, *columns(c, ids, first, nulls[rows], v)], names=schema.names)
 
     return marked.select(*keep, mark, null, text).mapInArrow(run, schema)
 
 
+def encode(df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", path: str | None = None, alpha: float = 1.0, seed: int = 0) -> DataFrame:
+    """``keep`` columns, ids array<int> and ids_crc32 (of little-endian 32-bit ids) of every row.
+
+    A null text has null ids and crc, an empty one no ids. Rows with one key and one text
+    (a null key is a key too) have one segmentation; an empty table gives an empty result.
+    A new name that ``keep`` has already gets an underscore in front; other columns are not read.
+    """
+    def columns(c, ids, first, null, v):
+        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=pa.array(null) if null.any() else None)
+        return lists, pa.array(_crcs(ids, first), pa.int64(), mask=null)
+
+    return _segmented(df, keep, key, text, path, alpha, seed, "ids array<int>, ids_crc32 long", columns)
+
+
+def round_trip(df: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", path: str | None = None, alpha: float = 1.0, seed: int = 0) -> DataFrame:
+    """``keep`` columns, n_pieces, ids_crc32 and lossless: every text is encoded, decoded again and compared byte by byte in one pass.
+
+    A null text has null n_pieces and crc and is lossless, as it has null ids, which spell null. Otherwise as ``encode``.
+    """
+    def columns(c, ids, first, null, v):
+        data, off = spelled(ids, first, v)
+        same = np.diff(off) == np.diff(c.off)
+        if len(data) != len(c.data) or not (off == c.off).all() or not (data == c.data).all():
+            same &= np.array([data[a:b].tobytes() == c.text(i) for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))], bool)
+        return pa.array(np.diff(first), pa.int64(), mask=null), pa.array(_crcs(ids, first), pa.int64(), mask=null), pa.array(same | null)
+
+    return _segmented(df, keep, key, text, path, alpha, seed, "n_pieces long, ids_crc32 long, lossless boolean", columns)
+
+
 def decode(df: DataFrame, keep: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
     """``keep`` columns and the text that the ids spell (null for null)."""
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
@@ -260,14 +295,9 @@ def decode(df: DataFrame, keep: list[str], ids: str = "ids", path: str | None =
             while row < batch.num_rows:  # runs of whole rows with about RUN ids, so memory doesn't follow the batch
                 end = max(row + 1, int(np.searchsorted(behind, behind[row] + RUN, "right")) - 1)
                 part = batch.slice(row, end - row)
-                lists, row = part.column(width), end
-                flat, first = lists.flatten().to_numpy(zero_copy_only=False), behind[row - part.num_rows:row + 1] - behind[row - part.num_rows]
-                size = v.length[flat]
-                data = v.flat[ragged(v.first[flat], size)]
-                off = np.concatenate([[0], np.cumsum(size)])[first]
-                lead = np.diff(off) > 0  # the leading space goes
-                data = np.delete(data, off[:-1][lead])
-                off = (off - np.concatenate([[0], np.cumsum(lead)])).astype(np.int64)
+                lists = part.column(width)
+                data, off = spelled(lists.flatten().to_numpy(zero_copy_only=False), behind[row:end + 1] - behind[row], v)
+                row = end
                 text = pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(off), pa.py_buffer(data)])
                 if lists.null_count:
                     text = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.large_string()), text)
@@ -280,11 +310,7 @@ def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, decoded again and compared with the text."""
     body = F.col("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(body).alias("text_crc32"), F.octet_length(body).cast("long").alias("n_bytes"))
-    coded = encode(docs, ["doc_id", "text_crc32", "n_bytes"]).withColumn("n_pieces", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")))
-    back = F.col("text").cast("binary")
-    return decode(coded, ["doc_id", "n_bytes", "n_pieces", "ids_crc32", "text_crc32"]).select(
-        "doc_id", "n_bytes", "n_pieces", "ids_crc32", "text_crc32",
-        (F.crc32(back).eqNullSafe(F.col("text_crc32")) & F.octet_length(back).cast("long").eqNullSafe(F.col("n_bytes"))).alias("lossless"))
+    return round_trip(docs, ["doc_id", "n_bytes", "text_crc32"]).select("doc_id", "n_bytes", "n_pieces", "ids_crc32", "text_crc32", "lossless")
 
 
 QUERIES = {"op5_sampled_pieces": op5_sampled_pieces}
