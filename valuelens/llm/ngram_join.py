@@ -37,8 +37,8 @@ BUCKET, BLOCK = 64, 512
 TARGET = 0.999
 #: Pairs whose tokens agree less are not candidates: five standard deviations below LEAST.
 CANDIDATE = 0.5
-#: On a fuller path, texts that agree with it in so many places on average are compared with all of it; texts in a block for that.
-DENSE, DENSE_BLOCK = 0.7, 4096
+#: On a fuller path, texts that agree with it in so many places on average (as much as a candidate) are compared with all of it; texts in a block for that.
+DENSE, DENSE_BLOCK = 0.5, 16384
 #: Shingles and texts in a block of the exact comparison.
 BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 512
 
