@@ -29,3 +29,15 @@ def test_streaming_ingest_is_incremental_and_deduplicated(spark, tmp_path):
     q = start_canonical_ingest(spark, str(src), "Year 1", out, ck)
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_a_reordered_header_is_refused(spark, tmp_path):
+    import pytest
+    src, out, ck = tmp_path / "src", str(tmp_path / "canonical"), str(tmp_path / "ck")
+    src.mkdir()
+    (src / "part1.csv").write_text("StockCode,Invoice" + HEADER[len("Invoice,StockCode"):] + "SKU1,1001,x,2,2010-01-01 10:00:00,2.5,1.0,UK\n")
+    q = start_canonical_ingest(spark, str(src), "Year 1", out, ck)
+    with pytest.raises(Exception, match="header"):
+        q.awaitTermination(120)
+        raise AssertionError(q.exception())
+    assert not list(tmp_path.glob("canonical/**/*.parquet"))

@@ -176,11 +176,13 @@ QUERIES = {
 
 # ---------------------------------------------------------------- oracle SQL
 
+_DATE = """COALESCE(TRY_CAST("InvoiceDate" AS TIMESTAMP), TRY_STRPTIME("InvoiceDate", ['%m/%d/%Y %H:%M', '%Y/%m/%d']))"""
+
 _CANON = r"""c_coerced AS (
   SELECT regexp_replace("Invoice", '^\s+|\s+$', '', 'g') AS invoice_id,
          regexp_replace("StockCode", '^\s+|\s+$', '', 'g') AS stock_code,
          TRY_CAST("Quantity" AS DOUBLE) AS quantity,
-         TRY_CAST("InvoiceDate" AS TIMESTAMP) AS invoice_date,
+         {_DATE} AS invoice_date,
          TRY_CAST("Price" AS DOUBLE) AS unit_price,
          TRY_CAST("Customer ID" AS DOUBLE) AS customer_number,
          regexp_replace("Country", '^\s+|\s+$', '', 'g') AS country,
@@ -197,13 +199,14 @@ c_valid AS (
   WHERE invoice_id IS NOT NULL AND stock_code IS NOT NULL AND invoice_date IS NOT NULL
     AND customer_number IS NOT NULL AND country IS NOT NULL AND quantity IS NOT NULL
     AND unit_price IS NOT NULL AND quantity <> 0 AND unit_price > 0),
-c_canon AS (SELECT DISTINCT * FROM c_valid)"""
+c_canon AS (SELECT DISTINCT * FROM c_valid)""".replace("{_DATE}", _DATE)
 
 _QUALITY = """q_report AS (
   SELECT s.*, c.*, s.source_rows - c.usable_rows AS excluded_rows FROM
   (SELECT count(*) AS source_rows,
           CAST(count_if("Customer ID" IS NULL) AS BIGINT) AS missing_customer_rows,
-          CAST(count_if(TRY_CAST("InvoiceDate" AS TIMESTAMP) IS NULL) AS BIGINT) AS missing_invoice_date_rows,
+          CAST(count_if({_DATE} IS NULL) AS BIGINT) AS missing_invoice_date_rows,
+          CAST(count_if({_DATE} IS NULL AND "InvoiceDate" IS NOT NULL) AS BIGINT) AS unread_invoice_date_rows,
           CAST(count_if(COALESCE(TRY_CAST("Price" AS DOUBLE), 0) <= 0) AS BIGINT) AS nonpositive_price_rows,
           CAST(count_if(COALESCE(TRY_CAST("Quantity" AS DOUBLE), 0) = 0) AS BIGINT) AS zero_quantity_rows,
           count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fx_raw) d) AS exact_duplicate_rows
@@ -211,7 +214,7 @@ _QUALITY = """q_report AS (
   (SELECT count(*) AS usable_rows, CAST(count_if(is_cancellation) AS BIGINT) AS cancellation_rows,
           count(DISTINCT customer_id) AS customers, count(DISTINCT invoice_id) AS invoices,
           min(invoice_date) AS date_min, max(invoice_date) AS date_max, count(DISTINCT country) AS countries
-   FROM c_canon) c)"""
+   FROM c_canon) c)""".replace("{_DATE}", _DATE)
 
 _RAW = [S.FX_RAW, _CANON]
 _CANON_DBL = ["quantity", "unit_price", "signed_revenue"]

@@ -68,7 +68,8 @@ FX_RAW = """fx_raw_base AS (
          'part ' || CAST(l.l_partkey AS VARCHAR) AS "Description",
          CASE WHEN l.l_orderkey % 31 = 0 THEN 'abc'
               ELSE CAST(CASE WHEN l.l_returnflag = 'R' THEN -l.l_quantity ELSE l.l_quantity END AS VARCHAR) END AS "Quantity",
-         CASE WHEN l.l_orderkey % 37 = 0 THEN 'not a date'
+         CASE WHEN l.l_orderkey % 37 = 0 THEN 'not a date' WHEN l.l_orderkey % 3 = 0 THEN strftime(o.o_orderdate, '%-m/%-d/%Y %-H:%M')
+              WHEN l.l_orderkey % 7 = 0 THEN strftime(o.o_orderdate, '%Y/%-m/%-d')
               ELSE strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') END AS "InvoiceDate",
          CASE WHEN l.l_orderkey % 29 = 0 THEN '0' ELSE CAST(p.p_retailprice AS VARCHAR) END AS "Price",
          CASE WHEN l.l_orderkey % 23 = 0 THEN NULL ELSE CAST(o.o_custkey AS VARCHAR) || '.0' END AS "Customer ID",

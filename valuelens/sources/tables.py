@@ -130,7 +130,8 @@ def raw_lines_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Defects: %23 customer missing, %29 price '0', %31 quantity 'abc', %37 bad date,
     %41 padded invoice, %43 invoice prefixed 'C'; %50 lines appear twice (exact
-    duplicates); %53 lines appear again under the other source name.
+    duplicates); %53 lines appear again under the other source name; of %3 orders the
+    date has the form month/day/year hour:minute, of %7 ones year/month/day.
     """
     lines = _transaction_lines(spark, sf_dir)
     k = F.col("l_orderkey")
@@ -152,7 +153,8 @@ def raw_lines_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").cast("string").alias("StockCode"),
         F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("Description"),
         F.when(k % 31 == 0, F.lit("abc")).otherwise(qty.cast("string")).alias("Quantity"),
-        F.when(k % 37 == 0, F.lit("not a date"))
+        F.when(k % 37 == 0, F.lit("not a date")).when(k % 3 == 0, F.date_format("o_orderdate", "M/d/yyyy H:mm"))
+        .when(k % 7 == 0, F.date_format("o_orderdate", "yyyy/M/d"))
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("InvoiceDate"),
         F.when(k % 29 == 0, F.lit("0")).otherwise(F.col("p_retailprice").cast("string")).alias("Price"),
         F.when(k % 23 == 0, F.lit(None).cast("string"))

@@ -53,10 +53,14 @@ def merge_batch(batch: DataFrame, target_path: str) -> None:
 def start_canonical_ingest(spark: SparkSession, source_dir: str, source_name: str, target_path: str,
                            checkpoint_location: str, fmt: str = "csv", available_now: bool = True,
                            processing_time: str | None = None) -> StreamingQuery:
-    """Start the ingest stream; ``available_now`` drains the files present and stops."""
+    """Start the ingest stream; ``available_now`` drains the files present and stops.
+
+    A CSV whose header doesn't have the raw columns in their order is refused: the stream
+    fails and the file is not taken as read.
+    """
     reader = spark.readStream.format(fmt).schema(RAW_SCHEMA)
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        reader = reader.option("header", "true").option("enforceSchema", "false")
     stream = reader.load(source_dir).withColumn("source_sheet", F.lit(source_name))
     writer = (stream.writeStream.foreachBatch(lambda df, _id: merge_batch(df, target_path))
               .option("checkpointLocation", checkpoint_location))
