@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_rank
+from .selection import find_cuts
 
 
 def interval_envelope(point: Column, lower: Column, upper: Column) -> tuple[Column, Column]:
@@ -30,7 +30,7 @@ def conformal_correction(calibration: DataFrame, actual: str, raw_lower: str, ra
     Conformity score s = max(lower - y, y - upper).  With n rows and
     k = ceil((n+1)*t), the correction is the (k+1)-th smallest score (the largest
     when k >= n), floored at 0: NumPy's ``quantile(s, min(1, k/n), 'higher')``.
-    The order statistic is read off a distributed global rank.
+    The order statistic is found by distributed selection; the correction of no rows is null.
     """
     t = float(target_coverage)
     if not 0.0 < t < 1.0 or math.isnan(t):
@@ -38,19 +38,14 @@ def conformal_correction(calibration: DataFrame, actual: str, raw_lower: str, ra
     y, lo, hi = F.col(actual), F.col(raw_lower), F.col(raw_upper)
     scored = calibration.select(*key_cols, y.alias("_y"), lo.alias("_lo"), hi.alias("_hi"),
                                 F.greatest(lo - y, y - hi).alias("_s"))
-    ranked = global_rank(scored, ["_s", *key_cols], "_rank")
-    n = F.count(F.lit(1))
-    stats = ranked.agg(n.alias("_n"))
-    k = F.ceil((F.col("_n") + F.lit(1)).cast("double") * F.lit(t))
-    target = stats.select("_n", F.least(k + F.lit(1), F.col("_n")).cast("bigint").alias("_m"))
-    picked = ranked.join(F.broadcast(target), ranked["_rank"] == target["_m"], "inner") \
-        .select(F.greatest(F.col("_s"), F.lit(0.0)).alias("correction"))
-    with_c = ranked.crossJoin(F.broadcast(picked))
+    cuts = find_cuts(scored, "_s", key_cols, lambda n: [min(math.ceil((n + 1) * t) + 1, n)])
+    at = cuts.scores()[0] if cuts.rows else None
+    correction = F.lit(None if at is None else max(at, 0.0)).cast("double")
     cov_raw = ((F.col("_y") >= F.col("_lo")) & (F.col("_y") <= F.col("_hi"))).cast("double")
-    cov_cal = ((F.col("_y") >= F.col("_lo") - F.col("correction"))
-               & (F.col("_y") <= F.col("_hi") + F.col("correction"))).cast("double")
-    out = with_c.agg(
-        F.first("correction").alias("correction"),
+    cov_cal = ((F.col("_y") >= F.col("_lo") - correction)
+               & (F.col("_y") <= F.col("_hi") + correction)).cast("double")
+    out = scored.agg(
+        F.first(correction).alias("correction"),
         F.count(F.lit(1)).alias("calibration_rows"),
         F.avg(cov_raw).alias("raw_coverage"),
         F.avg(cov_cal).alias("calibrated_coverage"),

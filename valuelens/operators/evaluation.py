@@ -2,18 +2,21 @@
 activity scores, deciles, group diagnostics and capture curves.
 
 Every metric is a distributed aggregate; the ones that need a global order
-(Spearman, top-fraction capture, deciles, capture curve, average precision) use
-``ranking.global_rank`` / ``global_prefix_sum`` instead of an un-partitioned window.
+(Spearman, average precision) use ``ranking.global_rank`` / ``global_prefix_sum`` instead
+of an un-partitioned window; those that need its cut points only (top-fraction capture,
+deciles, capture curve) use ``selection.find_cuts`` and move no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import average_rank, decile_from_rank, global_prefix_sum, global_rank
+from .ranking import average_rank, global_prefix_sum
+from .selection import find_cuts
 
 
 def wape_expr(actual: Column, pred: Column) -> Column:
@@ -47,11 +50,6 @@ def spearman(df: DataFrame, actual: str, pred: str, key_cols: Sequence[str]) ->
         .otherwise(pearson_expr(F.col("_ry"), F.col("_rp"))).alias("spearman"))
 
 
-def rank_desc(df: DataFrame, score: str, key_cols: Sequence[str], rank_col: str = "_rank") -> DataFrame:
-    """Global 1-based rank by score descending, key ascending (deterministic ties)."""
-    return global_rank(df, [F.col(score).desc(), *key_cols], rank_col)
-
-
 def top_fraction_capture_expr(actual: Column, rank: Column, n: Column, fraction: float) -> Column:
     """Aggregate: Σ y over the k = max(1, ceil(n*f)) best-ranked / Σ y (0 if Σ y = 0)."""
     k = F.greatest(F.lit(1), F.ceil(n.cast("double") * F.lit(float(fraction))))
@@ -68,10 +66,16 @@ def with_count(df: DataFrame, name: str = "_n") -> DataFrame:
 
 def top_capture(df: DataFrame, actual: str, score: str, key_cols: Sequence[str],
                 fractions: Sequence[float] = (0.10, 0.20)) -> DataFrame:
-    ranked = with_count(rank_desc(df.select(*key_cols, *dict.fromkeys([actual, score])), score, key_cols))
-    cols = [top_fraction_capture_expr(F.col(actual), F.col("_rank"), F.col("_n"), f)
-            .alias(f"top_{int(round(f * 100))}_value_capture") for f in fractions]
-    return ranked.agg(*cols)
+    """Share of the actual value in the best-scored fractions (score descending, key ascending)."""
+    order = sorted(fractions)
+    cuts = find_cuts(df, score, key_cols, lambda n: [max(1, math.ceil(n * float(f))) for f in order], descending=True)
+    place, y, total = cuts.place(), F.col(actual), F.sum(actual)
+
+    def share(f: float) -> Column:
+        top = F.sum(F.when(place <= order.index(f), y).otherwise(F.lit(0.0)))
+        return F.when(total == 0, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(top, total), F.lit(0.0)))
+
+    return df.agg(*[share(f).alias(f"top_{int(round(f * 100))}_value_capture") for f in fractions])
 
 
 def interval_coverage(df: DataFrame, actual: str, lower: str, upper: str,
@@ -157,10 +161,13 @@ def to_long(wide: DataFrame, group: str | None = None, group_col: str = "scorer"
 
 def assign_deciles(df: DataFrame, score: str, key_cols: Sequence[str], out_col: str = "predicted_value_decile",
                    bins: int = 10) -> DataFrame:
-    """Equal-frequency score bins, 1 = lowest; ties ordered by key (rank 'first')."""
-    ranked = with_count(global_rank(df.select(score, *key_cols), [score, *key_cols], "_rank_asc"))
-    binned = ranked.select(*key_cols, decile_from_rank(F.col("_rank_asc"), F.col("_n"), bins).alias(out_col))
-    return df.join(binned, list(key_cols))
+    """Equal-frequency score bins, 1 = lowest; ties ordered by key (rank 'first').
+
+    Bin b ends at rank floor(b * (n - 1) / bins) + 1, the integer form of
+    ``ranking.decile_from_rank``; rows are labelled by comparing with these bins - 1 rows.
+    """
+    cuts = find_cuts(df, score, key_cols, lambda n: [b * (n - 1) // bins + 1 for b in range(1, bins)])
+    return df.withColumn(out_col, (cuts.place() + F.lit(1)).cast("int"))
 
 
 def interval_diagnostics(df: DataFrame, group_col: str, actual: str, raw_lower: str, raw_upper: str,
@@ -199,14 +206,14 @@ def capture_curve(df: DataFrame, actual: str, score: str, key_cols: Sequence[str
                   points: int = 100) -> DataFrame:
     """Cumulative share of realized value captured by the top p% (p = 1..points) customers.
 
-    Row of rank r first counts at point p_min(r) = floor(points*(r-1)/n) + 1; a sum
-    per point (<= points rows) and a running sum over the points give the curve.
+    Point p ends at rank ceil(p * n / points), so a row's point follows from its place
+    among points - 1 cuts; a sum per point (<= points rows) and a running sum over
+    the points give the curve.
     """
-    ranked = with_count(rank_desc(df.select(*key_cols, *dict.fromkeys([actual, score])), score, key_cols))
-    first_point = (F.floor(F.lit(points) * (F.col("_rank") - F.lit(1)) / F.col("_n")) + F.lit(1)).cast("int")
-    per_point = ranked.groupBy(first_point.alias("coverage_point")).agg(
-        F.sum(actual).alias("_v"), F.count(F.lit(1)).alias("_c"))
-    total = ranked.agg(F.sum(actual).alias("_total"), F.count(F.lit(1)).alias("_n"))
+    cuts = find_cuts(df, score, key_cols, lambda n: [-(-p * n // points) for p in range(1, points)], descending=True)
+    ranked = df.select((cuts.place() + F.lit(1)).cast("int").alias("coverage_point"), F.col(actual).alias("_y"))
+    per_point = ranked.groupBy("coverage_point").agg(F.sum("_y").alias("_v"), F.count(F.lit(1)).alias("_c"))
+    total = df.agg(F.sum(actual).alias("_total"), F.count(F.lit(1)).alias("_n"))
     grid = df.sparkSession.range(1, points + 1).select(F.col("id").cast("int").alias("coverage_point"))
     w = Window.orderBy("coverage_point").rowsBetween(Window.unboundedPreceding, 0)
     curve = (grid.join(per_point, "coverage_point", "left")
