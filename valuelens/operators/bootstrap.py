@@ -2,27 +2,34 @@
 
 Per iteration ``it`` (0..B-1) n draws with replacement pick row
 ``hash(seed, it, draw) mod n`` (xxhash64 by default; md5 on request so that an
-SQL engine can reproduce the resamples).  The draws are aggregated into multiplicities w(it, row); every
-metric is then a *weighted* statistic over the drawn rows:
+SQL engine can reproduce the resamples).  Every metric is a *weighted* statistic
+over the drawn rows, w(it, row) being a row's multiplicity:
 
   WAPE        Σw|y-s| / Σw|y|
   top-k       rows in score order (key tiebreak), each repeated w times; the first
               k = max(1, ceil(n f)) copies are kept: Σ y·clamp(k - C_before, 0, w)
   Spearman    tie-averaged ranks in the resample, W(<v) + (W(=v)+1)/2, then a
-              weighted Pearson correlation (0 when a side is constant)
-
-Positions and tie groups of the three orders (actual, model, baseline) are those of
-the rows and are found once.  In a resample, rows meet in blocks of at most
-``block_rows`` positions; a small table of (order, iteration, block) holds the weight
-ahead of each block and the tie groups that cross its borders, so neither an
-iteration nor a value that half of the rows share has to fit in one task.  Iteration -1 carries unit weights and yields the point
-estimates with the same code path.
+              weighted Pearson correlation (0 when a side is constant); ranks are
+              taken from their mean, which is (n+1)/2 in every resample
+
+The draws move once, as (block, row, iteration) triples of small integers, and become
+one packed vector of B + 1 multiplicities per row (column 0 is the unit weight, whose
+statistics are the point estimates).  From there on n rows move, each with its vector:
+once into blocks of positions of the actual value, where the ranks are added as a second
+vector, and once into blocks of either score, where a block gives its share of each sum
+for each iteration.  Per order, one exchange serves both the blocks' totals and the rows.
+Positions and tie groups are those of the rows and are found once; a table of (iteration,
+block) holds the weight ahead of each block and the tie groups that cross its borders, so
+neither an iteration nor a value that half of the rows share has to fit in one task.  A
+block holds at most ``BLOCK_CELLS`` multiplicities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +39,13 @@ from .ranking import global_rank, tie_spans
 
 METRICS = ["spearman_difference", "top_10_capture_difference", "top_20_capture_difference", "wape_difference"]
 
+#: Rows x iterations of one block: bounds a task's memory (some 16 MB for each matrix of 64-bit numbers).
+BLOCK_CELLS = 2_000_000
+_COUNT = np.dtype("<u2")
+_FRACTIONS = (0.10, 0.20)
+_SUMS = ["sxy", "sxx", "syy", "cap10", "cap20", "wy", "wabs", "wdiff"]
+_RANGES = ["ylo", "yhi", "slo", "shi"]
+
 
 def _draw_hash(kind: str, seed: int) -> Column:
     if kind == "md5":
@@ -39,78 +53,155 @@ def _draw_hash(kind: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "it", "draw")
 
 
-#: Columns, and whether their positions run from the largest value down.
-_SIDES = (("y", False), ("m", True), ("b", True))
+def _packed(matrix: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in matrix], pa.binary())
+
+
+def _matrix(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _multiplicities(rows: DataFrame, draws: DataFrame, iterations: int, block: int) -> DataFrame:
+    """rows with ``w``: the packed multiplicities of each row, column 0 being 1."""
+    kept = [c for c in rows.columns if c != "_rid"]
+    width = iterations + 1
+
+    def count(drawn: pa.Table, mine: pa.Table) -> pa.Table:
+        place = (mine["_rid"].to_numpy() - 1) % block
+        cell = drawn["off"].to_numpy().astype(np.int64) * width + drawn["it"].to_numpy() + 1
+        weights = np.bincount(cell, minlength=block * width).reshape(block, width)
+        if weights.max(initial=0) > np.iinfo(_COUNT).max:
+            raise OverflowError("a row is drawn too often for a packed multiplicity")
+        weights[:, 0] = 1
+        return mine.select(kept).append_column("w", _packed(weights.astype(_COUNT)[place]))
 
+    left = draws.groupBy("_blk")
+    right = rows.withColumn("_blk", F.floor((F.col("_rid") - 1) / F.lit(block)).cast("int")).groupBy("_blk")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
+    return left.cogroup(right).applyInArrow(count, f"{schema}, w binary")
 
-def _block_table(weighted: DataFrame, block_rows: int) -> DataFrame:
-    """side, it, blk, off, ties: what a block of positions needs to know about the blocks beside it.
 
-    off is the weight ahead of the block; ties has, for the at most two tie groups that
-    cross the block's borders, the group's weight over all blocks and the weight ahead of
-    it.  One aggregation with partial sums for all three orders; the result has at most
-    3 x iterations x blocks rows.
+def _block_offsets(blocked, c: str, block: int) -> DataFrame:
+    """_blk, it, off, hs, he, ts, te: what a block of positions needs of the blocks beside it.
+
+    off is the weight ahead of the block; (hs, he) are the weight ahead of the tie group that
+    enters the block from before and that group's whole weight, (ts, te) those of the group
+    that starts in the block and leaves it.  iterations x blocks rows.
     """
-    def block(c):
-        return F.floor((c - 1) / F.lit(block_rows)).cast("bigint")
-
-    items = F.array(*[F.struct(F.lit(c).alias("side"), block(F.col(f"p{c}")).alias("blk"), F.col(f"f{c}").alias("f"),
-                               block(F.col(f"f{c}")).alias("fb"), block(F.col(f"l{c}")).alias("lb")) for c, _ in _SIDES])
-    parts = weighted.select("it", "w", F.explode(items).alias("_s")).select("it", "w", "_s.*")
-    head, tail = F.col("fb") < F.col("blk"), (F.col("fb") == F.col("blk")) & (F.col("lb") > F.col("blk"))
-    sums = parts.groupBy("side", "it", "blk").agg(
-        F.sum("w").alias("tot"), F.sum(F.when(head, F.col("w"))).alias("head"), F.max(F.when(head, F.col("f"))).alias("head_f"),
-        F.sum(F.when(tail, F.col("w"))).alias("tail"), F.max(F.when(tail, F.col("f"))).alias("tail_f"))
-    ahead = Window.partitionBy("side", "it").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    def totals(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        blk = key[0].as_py()
+        first, last = part[f"f{c}"].to_numpy(), part[f"l{c}"].to_numpy()
+        weights = _matrix(part["w"], _COUNT).astype(np.int64)
+        head = first < blk * block + 1
+        tail = ~head & (last > (blk + 1) * block)
+        width = weights.shape[1]
+
+        def across(rows):
+            return pa.array([int(first[rows][0])] * width if rows.any() else [None] * width, pa.int64())
+
+        return pa.table({"_blk": pa.array([blk] * width, pa.int64()), "it": pa.array(np.arange(-1, width - 1), pa.int32()),
+                         "tot": weights.sum(0), "head": weights[head].sum(0), "tail": weights[tail].sum(0),
+                         "head_f": across(head), "tail_f": across(tail)})
+
+    sums = materialize(blocked.applyInArrow(totals, "_blk bigint, it int, tot bigint, head bigint, tail bigint, head_f bigint, tail_f bigint"), "blocks")
+    ahead = Window.partitionBy("it").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("off", F.coalesce(F.sum("tot").over(ahead), F.lit(0)))
-    cross = sums.select("side", "it", "blk", F.explode(F.array(
-        F.struct(F.col("head_f").alias("f"), F.col("head").alias("part"), F.col("off").alias("before")),
-        F.struct(F.col("tail_f").alias("f"), F.col("tail").alias("part"), (F.col("off") + F.col("tot") - F.col("tail")).alias("before")))).alias("_t"))
-    cross = cross.select("side", "it", "blk", "_t.*").where("f IS NOT NULL")
-    whole = Window.partitionBy("side", "it", "f")
-    ties = (cross.withColumns({"eq": F.sum("part").over(whole), "start": F.min("before").over(whole)})
-            .groupBy("side", "it", "blk").agg(F.collect_list(F.struct("f", "eq", "start")).alias("ties")))
-    return sums.select("side", "it", "blk", "off").join(ties, ["side", "it", "blk"], "left")
+    cross = sums.select("it", "_blk", F.explode(F.array(
+        F.struct(F.lit("h").alias("end"), F.col("head_f").alias("f"), F.col("head").alias("part"), F.col("off").alias("before")),
+        F.struct(F.lit("t").alias("end"), F.col("tail_f").alias("f"), F.col("tail").alias("part"),
+                 (F.col("off") + F.col("tot") - F.col("tail")).alias("before")))).alias("_t"))
+    cross = cross.select("it", "_blk", "_t.*").where("f IS NOT NULL")
+    whole = Window.partitionBy("it", "f")
+    ties = cross.withColumns({"eq": F.sum("part").over(whole), "start": F.min("before").over(whole)}).groupBy("it", "_blk").agg(
+        *[F.max(F.when(F.col("end") == end, F.col(v))).alias(n) for end, v, n in
+          (("h", "start", "hs"), ("h", "eq", "he"), ("t", "start", "ts"), ("t", "eq", "te"))])
+    return sums.select("_blk", "it", "off").join(ties, ["it", "_blk"], "left")
 
 
-def _ranked_side(weighted: DataFrame, blocks: DataFrame, c: str, descending: bool, block_rows: int, n: Column) -> DataFrame:
-    """Adds ``c<c>``, the running weight, and ``r<c>``, the tie-averaged ascending rank in the resample.
+def _in_blocks(rows: DataFrame, c: str, block: int):
+    return rows.withColumn("_blk", F.floor((F.col(f"p{c}") - 1) / F.lit(block)).cast("bigint")).groupBy("_blk")
 
-    Rows of an iteration meet in blocks of ``block_rows`` positions: one exchange, one
-    sort, and a join with the block's row on the same keys.
-    """
-    p, f, l = (F.col(x + c) for x in "pfl")
-    rows = weighted.withColumn("blk", F.floor((p - 1) / F.lit(block_rows)).cast("bigint"))
-    unb, cur = Window.unboundedPreceding, Window.currentRow
-    here = Window.partitionBy("it", "blk")
-    rows = rows.withColumns({"_run": F.sum("w").over(here.orderBy(f, p).rowsBetween(unb, cur)),
-                             "_upto": F.sum("w").over(here.orderBy(f).rangeBetween(unb, cur)),
-                             "_eq": F.sum("w").over(here.orderBy(f).rangeBetween(cur, cur))})
-    rows = rows.join(blocks.where(F.col("side") == c).drop("side"), ["it", "blk"])
-    tie = F.filter(F.coalesce("ties", F.array().cast("array<struct<f:bigint,eq:bigint,start:bigint>>")), lambda t: t["f"] == f)
-    across = F.size(tie) > 0
-    eq = F.when(across, tie[0]["eq"]).otherwise(F.col("_eq"))
-    before = F.when(across, tie[0]["start"]).otherwise(F.col("off") + F.col("_upto") - F.col("_eq"))
-    below = n - before - eq if descending else before
-    return rows.withColumns({f"c{c}": F.col("off") + F.col("_run"), f"r{c}": below + (eq + F.lit(1)) / F.lit(2.0)}) \
-        .drop("blk", "off", "ties", "_run", "_upto", "_eq", f"p{c}", f"f{c}", f"l{c}")
-
-
-def _weighted_pearson(x: str, y: str, n: Column) -> Column:
-    w = F.col("w").cast("double")
-    sx, sy = F.sum(w * F.col(x)), F.sum(w * F.col(y))
-    sxy, sxx, syy = F.sum(w * F.col(x) * F.col(y)), F.sum(w * F.col(x) * F.col(x)), F.sum(w * F.col(y) * F.col(y))
-    cov = sxy - sx * sy / n
-    den = F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
-    return F.coalesce(F.try_divide(cov, den), F.lit(0.0))
+
+def _block_ranks(part: pa.Table, beside: pa.Table, c: str, block: int, n: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The block's rows by position, their weights, the weight ahead of each, and twice the distance of
+    each tie-averaged position from the mean position."""
+    part, beside = part.sort_by(f"p{c}"), beside.sort_by("it")
+    weights = _matrix(part["w"], _COUNT).astype(np.int64)
+    side = {k: np.nan_to_num(beside[k].to_numpy()).astype(np.int64) for k in ("off", "hs", "he", "ts", "te")}
+    before = np.cumsum(weights, 0) - weights + side["off"]
+    first, last, blk = part[f"f{c}"].to_numpy(), part[f"l{c}"].to_numpy(), part["_blk"][0].as_py()
+    starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+    ahead, equal = before[starts], np.add.reduceat(weights, starts, 0)
+    if first[0] < blk * block + 1:
+        ahead[0], equal[0] = side["hs"], side["he"]
+    elif last[0] > (blk + 1) * block:
+        ahead[0], equal[0] = side["ts"], side["te"]
+    if len(starts) > 1 and last[-1] > (blk + 1) * block:
+        ahead[-1], equal[-1] = side["ts"], side["te"]
+    distance = 2 * ahead + equal - n
+    return part, weights, before, np.repeat(distance, np.diff(np.r_[starts, len(first)]), 0)
+
+
+def _with_actual_ranks(rows: DataFrame, block: int, n: int) -> DataFrame:
+    """rows with ``dy``, the packed distances of the actual value's ranks."""
+    kept = ["y", "m", "b", "pm", "fm", "lm", "pb", "fb", "lb", "w"]
+    dtype = "<i4" if n < 2**31 else "<i8"
+
+    def ranks(part: pa.Table, beside: pa.Table) -> pa.Table:
+        part, _, _, distance = _block_ranks(part, beside, "y", block, n)
+        return part.select(kept).append_column("dy", _packed(distance.astype(dtype)))
+
+    blocked = _in_blocks(rows, "y", block)
+    schema = "y double, m double, b double, pm bigint, fm bigint, lm bigint, pb bigint, fb bigint, lb bigint, w binary, dy binary"
+    return blocked.cogroup(_block_offsets(blocked, "y", block).groupBy("_blk")).applyInArrow(ranks, schema)
+
+
+def _score_sums(rows: DataFrame, c: str, block: int, n: int) -> DataFrame:
+    """it and, summed over the rows, what the metrics of score ``c`` (best first) need."""
+    dtype = "<i4" if n < 2**31 else "<i8"
+
+    def sums(part: pa.Table, beside: pa.Table) -> pa.Table:
+        part, weights, before, distance = _block_ranks(part, beside, c, block, n)
+        y, s = part["y"].to_numpy(), part[c].to_numpy()
+        dx, dy, w = -distance.astype(np.float64), _matrix(part["dy"], dtype).astype(np.float64), weights.astype(np.float64)
+        out = {"it": pa.array(np.arange(-1, w.shape[1] - 1), pa.int32()),
+               "sxy": np.einsum("ij,ij,ij->j", w, dx, dy), "sxx": np.einsum("ij,ij,ij->j", w, dx, dx),
+               "syy": np.einsum("ij,ij,ij->j", w, dy, dy)}
+        for name, f in zip(("cap10", "cap20"), _FRACTIONS):
+            out[name] = y @ np.clip(max(1.0, np.ceil(n * f)) - before, 0, weights)
+        out |= {"wy": y @ w, "wabs": np.abs(y) @ w, "wdiff": np.abs(y - s) @ w}
+        drawn = weights > 0
+        for lo, hi, v in (("ylo", "yhi", y), ("slo", "shi", s)):
+            out[lo] = np.where(drawn, v[:, None], np.inf).min(0)
+            out[hi] = np.where(drawn, v[:, None], -np.inf).max(0)
+        return pa.table(out)
+
+    blocked = _in_blocks(rows.select("y", c, f"p{c}", f"f{c}", f"l{c}", "w", "dy"), c, block)
+    schema = "it int, " + ", ".join(f"{x} double" for x in [*_SUMS, *_RANGES])
+    parts = blocked.cogroup(_block_offsets(blocked, c, block).groupBy("_blk")).applyInArrow(sums, schema)
+    return parts.groupBy("it").agg(*[F.sum(x).alias(x) for x in _SUMS], F.min("ylo").alias("ylo"), F.max("yhi").alias("yhi"),
+                                   F.min("slo").alias("slo"), F.max("shi").alias("shi"))
+
+
+def _metrics(sums: DataFrame, suffix: str) -> DataFrame:
+    """it, wape, spearman and captures of one score."""
+    def share(part: str, whole: str) -> Column:
+        return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+    const = (F.col("ylo") == F.col("yhi")) | (F.col("slo") == F.col("shi"))
+    pearson = F.coalesce(F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy")), F.lit(0.0))
+    return sums.select("it", share("wdiff", "wabs").alias(f"wape{suffix}"),
+                       F.when(const, F.lit(0.0)).otherwise(pearson).alias(f"spearman{suffix}"),
+                       share("cap10", "wy").alias(f"cap10{suffix}"), share("cap20", "wy").alias(f"cap20{suffix}"))
 
 
 def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_cols: Sequence[str],
                      iterations: int = 1000, seed: int = 42, confidence: float = 0.95,
-                     block_rows: int = 1 << 16, draw_hash: str = "xxhash64") -> DataFrame:
+                     block_rows: int | None = None, draw_hash: str = "xxhash64") -> DataFrame:
     """(metric, estimate, ci_lower, ci_upper, confidence, probability_model_better,
     favorable_direction); differences are model - baseline.
 
+    ``block_rows``: positions of a block; by default ``BLOCK_CELLS`` multiplicities.
     ``draw_hash``: "xxhash64" (fast, default) or "md5" (slower; reproducible by an
     SQL engine, used by the oracle-checked query)."""
     if draw_hash not in ("xxhash64", "md5"):
@@ -134,50 +225,27 @@ def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_
     if counted["unfit"]:
         raise ValueError(f"{counted['unfit']} rows hold null or non-finite values")
     B = int(iterations)
+    block = int(block_rows or max(1, min(BLOCK_CELLS // (B + 1), -(-n_rows // default_parallelism(spark)))))
     total = B * n_rows
     parts = max(default_parallelism(spark), -(-total // 5_000_000))
+    drawn = F.pmod(_draw_hash(draw_hash, int(seed)), F.lit(n_rows))
     draws = (spark.range(0, total, numPartitions=parts)
-             .select(F.expr(f"id div {n_rows}").alias("it"),
-                     (F.col("id") % F.lit(n_rows)).alias("draw"))
-             .select("it", (F.pmod(_draw_hash(draw_hash, int(seed)), F.lit(n_rows)) + 1).alias("_rid"))
-             .groupBy("it", "_rid").agg(F.count(F.lit(1)).alias("w")))
-    unit = rows.select(F.lit(-1).cast("bigint").alias("it"), "_rid", F.lit(1).cast("bigint").alias("w"))
-    n = F.lit(float(n_rows))
-    for c, descending in _SIDES:       # the orders are those of the rows, whatever the resample
+             .select(F.expr(f"id div {n_rows}").alias("it"), (F.col("id") % F.lit(n_rows)).alias("draw"))
+             .select(F.col("it").cast("int").alias("it"), drawn.alias("_row"))
+             .select("it", F.expr(f"CAST(_row div {block} AS INT)").alias("_blk"), (F.col("_row") % block).cast("int").alias("off")))
+    for c, descending in (("y", False), ("m", True), ("b", True)):       # the orders are those of the rows, whatever the resample
         rows = tie_spans(rows, c, keys, f"p{c}", f"f{c}", f"l{c}", descending)
-    weighted = draws.unionByName(unit).join(rows.drop(*keys), "_rid", "inner").drop("_rid")
-    blocks = materialize(_block_table(weighted, block_rows), "blocks")
-    for c, descending in _SIDES:
-        weighted = _ranked_side(weighted, blocks, c, descending, block_rows, n)
-
-    def capture(c_col: str, f: float) -> Column:
-        k = F.greatest(F.lit(1.0), F.ceil(n * F.lit(float(f))).cast("double"))
-        take = F.least(F.greatest(k - (F.col(c_col) - F.col("w")), F.lit(0.0)), F.col("w").cast("double"))
-        tot = F.sum(F.col("w") * F.col("y"))
-        return F.when(tot == 0, F.lit(0.0)).otherwise(F.try_divide(F.sum(F.col("y") * take), tot))
-
-    def wape(s: str) -> Column:
-        num = F.sum(F.col("w") * F.abs(F.col("y") - F.col(s)))
-        den = F.sum(F.col("w") * F.abs(F.col("y")))
-        return F.coalesce(F.try_divide(num, den), F.lit(0.0))
-
-    def spear(r: str, s: str) -> Column:
-        const = (F.min("y") == F.max("y")) | (F.min(s) == F.max(s))
-        return F.when(const, F.lit(0.0)).otherwise(_weighted_pearson("ry", r, n))
-
-    per_it = weighted.groupBy("it").agg(
-        (wape("m") - wape("b")).alias("wape_difference"),
-        (spear("rm", "m") - spear("rb", "b")).alias("spearman_difference"),
-        (capture("cm", 0.10) - capture("cb", 0.10)).alias("top_10_capture_difference"),
-        (capture("cm", 0.20) - capture("cb", 0.20)).alias("top_20_capture_difference"),
-    )
-    long = per_it.select("it", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"))
-                                                    for m in METRICS])).alias("_kv")) \
-        .select("it", "_kv.metric", "_kv.v")
+    weighted = materialize(_multiplicities(rows.drop(*keys), draws, B, block), "weights")
+    ranked = materialize(_with_actual_ranks(weighted, block, n_rows), "ranked")
+    per_it = _metrics(_score_sums(ranked, "m", block, n_rows), "_m").join(_metrics(_score_sums(ranked, "b", block, n_rows), "_b"), "it")
+    pairs = (("wape_difference", "wape"), ("spearman_difference", "spearman"), ("top_10_capture_difference", "cap10"),
+             ("top_20_capture_difference", "cap20"))
+    long = materialize(per_it.select("it", F.explode(F.array(*[
+        F.struct(F.lit(metric).alias("metric"), (F.col(f"{c}_m") - F.col(f"{c}_b")).alias("v")) for metric, c in pairs])).alias("_kv"))
+        .select("it", "_kv.metric", "_kv.v"), "resamples")
     alpha = (1.0 - float(confidence)) / 2.0
     lower_better = F.col("metric") == "wape_difference"
-    samples = long.filter(F.col("it") >= 0)
-    stats = samples.groupBy("metric").agg(
+    stats = long.filter(F.col("it") >= 0).groupBy("metric").agg(
         F.percentile("v", F.lit(alpha)).alias("ci_lower"),
         F.percentile("v", F.lit(1.0 - alpha)).alias("ci_upper"),
         F.avg(F.when(F.col("metric") == "wape_difference", (F.col("v") < 0).cast("double"))
