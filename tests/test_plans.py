@@ -35,16 +35,35 @@ def test_margin_snapshot_scans_are_pruned(spark):
         assert not re.search(r"l_shipdate|l_tax|l_linestatus|o_totalprice|p_name|c_name|c_acctbal", s[2])
 
 
-def test_bootstrap_windows_share_one_exchange(spark):
-    import re as _re
+def test_distinct_counts_need_no_expand(spark):
+    from valuelens.operators import contract as ct
+    o, t = C.fx_orders(spark, SF), C.fx_transactions(spark, SF)
+    for df in (sm.margin_snapshots(C.fx_customers(spark, SF, o), o, C.MARGIN_DATES), sr.revenue_snapshots(t, C.REVENUE_DATES),
+               ct.quality_report(C.fx_raw(spark, SF))):
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_report_reads_the_raw_lines_once(spark, tmp_path):
+    from valuelens.operators import contract as ct
+    C.fx_raw(spark, SF).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    one = ct.quality_report(raw)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert one.first().asDict() == ct.quality_report(raw, ct.canonicalize(raw)).first().asDict()
+    empty = raw.where("false")
+    assert ct.quality_report(empty).first().asDict() == ct.quality_report(empty, ct.canonicalize(empty)).first().asDict()
+
+
+def test_bootstrap_order_moves_rows_once(spark):
+    """The blocks' totals and the rows of an order come from one exchange of the packed rows."""
     from valuelens.operators import bootstrap as bs
-    df = spark.range(0, 60).selectExpr("id AS k", "CAST(id % 7 AS DOUBLE) AS y", "CAST(id % 5 AS DOUBLE) AS m",
-                                       "CAST(id % 3 AS DOUBLE) AS b")
-    out = bs.paired_bootstrap(df, "y", "m", "b", ["k"], iterations=5, seed=1)
+    from valuelens.session import materialize
+    df = materialize(spark.range(1, 61).selectExpr(
+        "CAST(id AS DOUBLE) AS y", "CAST(id AS DOUBLE) AS m", "CAST(id AS DOUBLE) AS b", "id AS py", "id AS fy", "id AS ly", "id AS pm",
+        "id AS fm", "id AS lm", "id AS pb", "id AS fb", "id AS lb", "unhex('010002000000') AS w"))
+    out = bs._with_actual_ranks(df, 16, 60)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    by_iteration = _re.findall(r"Exchange hashpartitioning\(it#\d+L, \d+\)", plan)
-    # the estimate (it = -1) and the resample branches each shuffle once by iteration
-    assert 1 <= len(by_iteration) <= 2
-    sorts = _re.findall(r"Sort \[it#\d+L ASC NULLS FIRST, [a-z]#\d+", plan)
-    assert len(sorts) <= 6          # <= 3 score orders per branch
+    carrying = [x for x in plan.splitlines() if "FileScan" in x]
+    assert len(carrying) == 1 and "ReusedExchange" in plan

@@ -103,7 +103,7 @@ def _block_offsets(blocked, c: str, block: int) -> DataFrame:
                          "tot": weights.sum(0), "head": weights[head].sum(0), "tail": weights[tail].sum(0),
                          "head_f": across(head), "tail_f": across(tail)})
 
-    sums = materialize(blocked.applyInArrow(totals, "_blk bigint, it int, tot bigint, head bigint, tail bigint, head_f bigint, tail_f bigint"), "blocks")
+    sums = blocked.applyInArrow(totals, "_blk bigint, it int, tot bigint, head bigint, tail bigint, head_f bigint, tail_f bigint")
     ahead = Window.partitionBy("it").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("off", F.coalesce(F.sum("tot").over(ahead), F.lit(0)))
     cross = sums.select("it", "_blk", F.explode(F.array(

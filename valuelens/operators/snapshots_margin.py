@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import parse_dates, route_to_snapshots
@@ -61,41 +61,49 @@ def _aggregate_orders(orders: DataFrame, dates, lookback_days: int, horizon_days
         route_to_snapshots(dates, lambda s: (od > F.date_add(s, lo)) & (od <= F.date_add(s, hi)))
         .alias("snapshot_date"),
     )
-    aggs = []
     hist = "order_date <= snapshot_date"
+    values = [F.struct(F.lit("row").alias("kind"), F.lit(None).cast("string").alias("value"))]
+
+    def valued(kind: str, value: str, cond: str) -> Column:
+        return F.expr(f"named_struct('kind', '{kind}', 'value', IF({cond}, CAST({value} AS STRING), NULL))")
+
+    # level 1: one row per order, category and month, with its latest date; sums stay with "row"
+    sums, counts = {}, []
+
+    def count(kind: str, days: int | None = None) -> Column:
+        return F.count_if((F.col("_kind") == kind) & (F.lit(True) if days is None else F.col("_latest") > F.date_sub("snapshot_date", days)))
+
     if features:
         def after(days: int) -> str:
             return f"order_date > date_sub(snapshot_date, {days})"
-        aggs += [
-            F.expr(f"max(order_date) FILTER (WHERE {hist})").alias("_last_order"),
-            F.expr(f"count(DISTINCT order_id) FILTER (WHERE {hist} AND {after(30)})").alias("orders_30d"),
-            F.expr(f"count(DISTINCT order_id) FILTER (WHERE {hist} AND {after(90)})").alias("orders_90d"),
-            F.expr(f"count(DISTINCT order_id) FILTER (WHERE {hist} AND {after(180)})").alias("orders_180d"),
-            F.expr(f"count(DISTINCT order_id) FILTER (WHERE {hist})").alias("orders_365d"),
-            F.expr(f"sum(net_revenue) FILTER (WHERE {hist} AND {after(90)})").alias("revenue_90d"),
-            F.expr(f"sum(net_revenue) FILTER (WHERE {hist} AND {after(180)})").alias("revenue_180d"),
-            F.expr(f"sum(net_revenue) FILTER (WHERE {hist})").alias("revenue_365d"),
-            F.expr(f"sum(contribution_margin) FILTER (WHERE {hist} AND {after(90)})").alias("margin_90d"),
-            F.expr(f"sum(contribution_margin) FILTER (WHERE {hist} AND NOT {after(90)} AND {after(180)})")
-            .alias("margin_previous_90d"),
-            F.expr(f"sum(contribution_margin) FILTER (WHERE {hist} AND {after(180)})").alias("margin_180d"),
-            F.expr(f"sum(contribution_margin) FILTER (WHERE {hist})").alias("margin_365d"),
-            F.expr(f"avg(net_revenue) FILTER (WHERE {hist})").alias("average_order_value_365d"),
-            F.expr(f"avg(discount_ratio) FILTER (WHERE {hist})").alias("average_discount_365d"),
-            F.expr(f"avg(returned) FILTER (WHERE {hist})").alias("return_rate_365d"),
-            F.expr(f"count(DISTINCT category) FILTER (WHERE {hist})").alias("category_diversity_365d"),
-            F.expr(f"count(DISTINCT trunc(order_date, 'MM')) FILTER (WHERE {hist})")
-            .alias("active_months_365d"),
-        ]
+        values += [valued("order", "order_id", hist), valued("category", "category", hist), valued("month", "trunc(order_date, 'MM')", hist)]
+        sums |= {
+            "_last_order": ("max", "order_date", hist),
+            "revenue_90d": ("sum", "net_revenue", f"{hist} AND {after(90)}"),
+            "revenue_180d": ("sum", "net_revenue", f"{hist} AND {after(180)}"),
+            "revenue_365d": ("sum", "net_revenue", hist),
+            "margin_90d": ("sum", "contribution_margin", f"{hist} AND {after(90)}"),
+            "margin_previous_90d": ("sum", "contribution_margin", f"{hist} AND NOT {after(90)} AND {after(180)}"),
+            "margin_180d": ("sum", "contribution_margin", f"{hist} AND {after(180)}"),
+            "margin_365d": ("sum", "contribution_margin", hist),
+            # each row lies in one group of level 1 under "row", so level 2 passes the averages on
+            "average_order_value_365d": ("avg", "net_revenue", hist),
+            "average_discount_365d": ("avg", "discount_ratio", hist),
+            "return_rate_365d": ("avg", "returned", hist),
+        }
+        counts += [*[count("order", d).alias(f"orders_{d}d") for d in (30, 90, 180)], count("order").alias("orders_365d"),
+                   count("category").alias("category_diversity_365d"), count("month").alias("active_months_365d")]
     if labels:
         r = float(annual_discount_rate)
-        aggs += [
-            F.expr("count(DISTINCT order_id) FILTER (WHERE order_date > snapshot_date)")
-            .alias("future_orders_180d"),
-            F.expr(f"sum(contribution_margin / (1.0D + {r!r}D * datediff(order_date, snapshot_date) / 365.0D)) "
-                   "FILTER (WHERE order_date > snapshot_date)").alias(MARGIN_TARGET),
-        ]
-    return routed.groupBy("customer_id", "snapshot_date").agg(*aggs)
+        values.append(valued("future", "order_id", "order_date > snapshot_date"))
+        sums[MARGIN_TARGET] = ("sum", f"contribution_margin / (1.0D + {r!r}D * datediff(order_date, snapshot_date) / 365.0D)",
+                               "order_date > snapshot_date")
+        counts.append(count("future").alias("future_orders_180d"))
+    spread = routed.select("*", F.inline(F.array(*values)).alias("_kind", "_value")).where("_kind = 'row' OR _value IS NOT NULL")
+    single = spread.groupBy("customer_id", "snapshot_date", "_kind", "_value").agg(
+        *[F.expr(f"{fn}({what}) FILTER (WHERE _kind = 'row' AND {cond})").alias(name) for name, (fn, what, cond) in sums.items()],
+        F.max("order_date").alias("_latest"))
+    return single.groupBy("customer_id", "snapshot_date").agg(*[F.max(name).alias(name) for name in sums], *counts)
 
 
 def _eligible(customers: DataFrame, dates) -> DataFrame:

@@ -93,37 +93,36 @@ def _snapshot_aggregates(transactions: DataFrame, dates, L: int, H: int,
     bucket = f"(invoice_date < {snap} AND (_prev IS NULL OR invoice_date >= CAST(_prev AS TIMESTAMP_NTZ)))"
     hist = f"(invoice_date < {snap} AND invoice_date >= CAST(date_sub(snapshot_date, {L}) AS TIMESTAMP_NTZ))"
     future = f"(invoice_date >= {snap} AND invoice_date < CAST(date_add(snapshot_date, {H}) AS TIMESTAMP_NTZ))"
-    aggs = [
-        F.expr(f"min(invoice_date) FILTER (WHERE {bucket} AND {positive})").alias("_first_pos"),
-    ]
+    used = f"{hist} AND {positive} AND _age <= 365"
+    values = [F.struct(F.lit("line").alias("kind"), F.lit(None).cast("string").alias("value"))]
+    if features:      # level 1: one row per invoice, product and month, with the least age; sums stay with "line"
+        values += [F.expr(f"named_struct('kind', '{kind}', 'value', IF({used}, CAST({value} AS STRING), NULL))") for kind, value in
+                   (("invoice", "invoice_id"), ("product", "stock_code"), ("month", "date_trunc('MONTH', invoice_date)"))]
+    spread = routed.select("*", F.inline(F.array(*values)).alias("_kind", "_value")).where("_kind = 'line' OR _value IS NOT NULL")
+    line = "_kind = 'line'"
+    sums = {"_first_pos": ("min", "invoice_date", f"{bucket} AND {positive}")}
     if features:
-        def pos_age(d: int) -> str:
-            return f"{hist} AND {positive} AND _age <= {d}"
-        aggs += [
-            F.expr(f"min(_age) FILTER (WHERE {hist} AND {positive})").alias("_min_age"),
-            F.expr(f"count(DISTINCT invoice_id) FILTER (WHERE {pos_age(30)})").alias("orders_30d"),
-            F.expr(f"count(DISTINCT invoice_id) FILTER (WHERE {pos_age(90)})").alias("orders_90d"),
-            F.expr(f"count(DISTINCT invoice_id) FILTER (WHERE {pos_age(180)})").alias("orders_180d"),
-            F.expr(f"count(DISTINCT invoice_id) FILTER (WHERE {pos_age(365)})").alias("orders_365d"),
-            F.expr(f"sum(signed_revenue) FILTER (WHERE {hist} AND _age <= 90)").alias("net_revenue_90d"),
-            F.expr(f"sum(signed_revenue) FILTER (WHERE {hist} AND _age > 90 AND _age <= 180)")
-            .alias("net_revenue_previous_90d"),
-            F.expr(f"sum(signed_revenue) FILTER (WHERE {hist} AND _age <= 180)").alias("net_revenue_180d"),
-            F.expr(f"sum(signed_revenue) FILTER (WHERE {hist} AND _age <= 365)").alias("net_revenue_365d"),
-            F.expr(f"sum(signed_revenue) FILTER (WHERE {pos_age(365)})").alias("_gross_365"),
-            F.expr(f"sum(signed_revenue) FILTER (WHERE {hist} AND is_cancellation AND _age <= 365)")
-            .alias("_returned_365"),
-            F.expr(f"count(DISTINCT stock_code) FILTER (WHERE {pos_age(365)})")
-            .alias("product_diversity_365d"),
-            F.expr(f"count(DISTINCT date_trunc('MONTH', invoice_date)) FILTER (WHERE {pos_age(365)})")
-            .alias("active_months_365d"),
-        ]
+        sums |= {
+            "_min_age": ("min", "_age", f"{hist} AND {positive}"),
+            "net_revenue_90d": ("sum", "signed_revenue", f"{hist} AND _age <= 90"),
+            "net_revenue_previous_90d": ("sum", "signed_revenue", f"{hist} AND _age > 90 AND _age <= 180"),
+            "net_revenue_180d": ("sum", "signed_revenue", f"{hist} AND _age <= 180"),
+            "net_revenue_365d": ("sum", "signed_revenue", f"{hist} AND _age <= 365"),
+            "_gross_365": ("sum", "signed_revenue", used),
+            "_returned_365": ("sum", "signed_revenue", f"{hist} AND is_cancellation AND _age <= 365"),
+        }
     if labels:
-        aggs += [
-            F.expr(f"sum(signed_revenue) FILTER (WHERE {future})").alias("_future_value"),
-            F.expr(f"count(1) FILTER (WHERE {future})").alias("_future_lines"),
-        ]
-    main = routed.groupBy("customer_id", "snapshot_date").agg(*aggs)
+        sums |= {"_future_value": ("sum", "signed_revenue", future), "_future_lines": ("sum", "1", future)}
+    least = [F.min("_age").alias("_least")] if features else []
+    single = spread.groupBy("customer_id", "snapshot_date", "_kind", "_value").agg(
+        *[F.expr(f"{fn}({what}) FILTER (WHERE {line} AND {cond})").alias(name) for name, (fn, what, cond) in sums.items()], *least)
+    aggs = [F.expr(f"{fn}({name})").alias(name) for name, (fn, _, _) in sums.items()]
+    if features:
+        def count(kind: str, days: int) -> Column:
+            return F.count_if((F.col("_kind") == kind) & (F.col("_least") <= days))
+        aggs += [*[count("invoice", d).alias(f"orders_{d}d") for d in (30, 90, 180, 365)],
+                 count("product", 365).alias("product_diversity_365d"), count("month", 365).alias("active_months_365d")]
+    main = single.groupBy("customer_id", "snapshot_date").agg(*aggs)
     return main.join(_latest_per_bucket(transactions, dates), ["customer_id", "snapshot_date"], "left")
 
 

@@ -14,7 +14,7 @@ from ..operators import preprocess as pp
 from ..operators import snapshots_margin as sm
 from ..operators import snapshots_revenue as sr
 from ..operators import split as sp
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir
 from ..sources import raw as rawsrc
 from ..sources import sinks
 from ..sources.tables import read_table
@@ -54,8 +54,7 @@ def canonical_roundtrip(spark, sf):
 
 
 def quality_report(spark, sf):
-    raw = materialize(fx_raw(spark, sf), "raw")       # read three times: counters, duplicates, canonical rows
-    return ct.quality_report(raw, ct.canonicalize(raw))
+    return ct.quality_report(fx_raw(spark, sf))
 
 
 def quality_audit(spark, sf):
