@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,18 @@ def test_bootstrap_blocked_path_equals_single_block_path(spark):
     for m in one:
         for f in ("estimate", "ci_lower", "ci_upper", "probability_model_better"):
             assert one[m][f] == pytest.approx(blocked[m][f], abs=1e-12)
+
+
+def test_draws_and_ranks_move_packed(spark):
+    """A task sends a row for an iteration and block, not for each draw; ranks take two bytes beside the first, or four where they must."""
+    draws = spark.range(0, 3000, numPartitions=2).selectExpr("cast(id div 1000 AS int) AS it", "(id * 7919) % 1000 AS _row")
+    got = bs._packed_draws(draws, 100).collect()
+    assert len(got) <= 4 * 10
+    rows = sorted((r["it"], r["_blk"] * 100 + int(o)) for r in got for o in np.frombuffer(r["offs"], "<u2"))
+    assert rows == sorted((r["it"], r["_row"]) for r in draws.collect())
+    far = np.array([[5, 6, -32000], [2**33, 2**33 + 32767, 2**33 - 32767], [0, 40_000, -1]], np.int64)
+    packed = bs._packed_distances(far, "<i4")
+    assert [len(x.as_py()) for x in packed] == [12, 12, 16]
+    assert (bs._distances(pa.chunked_array([packed]), 3, "<i4") == far).all()
+    w = pa.chunked_array([pa.array([np.array([1, 300], "<u2").tobytes()])]), pa.chunked_array([pa.array([bytes([1, 255])])])
+    assert [bs._weights(x, 2).tolist() for x in w] == [[[1, 300]], [[1, 255]]]

@@ -12,7 +12,7 @@ over the drawn rows, w(it, row) being a row's multiplicity:
               weighted Pearson correlation (0 when a side is constant); ranks are
               taken from their mean, which is (n+1)/2 in every resample
 
-The draws move once, as (block, row, iteration) triples of small integers, and become
+The draws move once, packed as runs of small offsets for an iteration and a block, and become
 one packed vector of B + 1 multiplicities per row (column 0 is the unit weight, whose
 statistics are the point estimates).  From there on n rows move, each with its vector:
 once into blocks of positions of the actual value, where the ranks are added as a second
@@ -41,7 +41,9 @@ METRICS = ["spearman_difference", "top_10_capture_difference", "top_20_capture_d
 
 #: Rows x iterations of one block: bounds a task's memory (some 16 MB for each matrix of 64-bit numbers).
 BLOCK_CELLS = 2_000_000
-_COUNT = np.dtype("<u2")
+#: Draws that a task packs at once.
+PACKED_DRAWS = 2_000_000
+_COUNTS = (np.dtype("u1"), np.dtype("<u2"))
 _FRACTIONS = (0.10, 0.20)
 _SUMS = ["sxy", "sxx", "syy", "cap10", "cap20", "wy", "wabs", "wdiff"]
 _RANGES = ["ylo", "yhi", "slo", "shi"]
@@ -61,27 +63,86 @@ def _matrix(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
+def _weights(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Multiplicities, one byte each or two where a row of the block is drawn more than 255 times."""
+    sizes = np.array([len(x) for x in column.to_pylist()])
+    if (sizes == width).all():
+        return _matrix(column, _COUNTS[0]).astype(np.int64)
+    return np.stack([np.frombuffer(x, _COUNTS[int(len(x) > width)]) for x in column.to_pylist()]).astype(np.int64)
+
+
+def _packed_distances(distance: np.ndarray, wide: str) -> pa.Array:
+    """Column 0 in full, and how far the other columns are from it: two bytes each where all of a row fit, else as ``wide``."""
+    first, rest = distance[:, :1], distance[:, 1:] - distance[:, :1]
+    fits = (np.abs(rest) <= np.iinfo(np.int16).max).all(1)
+    return pa.array([a.astype("<i8").tobytes() + r.astype("<i2" if f else wide).tobytes() for a, r, f in zip(first, rest, fits, strict=True)], pa.binary())
+
+
+def _distances(column: pa.ChunkedArray, width: int, wide: str) -> np.ndarray:
+    short = 8 + 2 * (width - 1)
+    rows = column.to_pylist()
+    first = np.array([np.frombuffer(x, "<i8", 1)[0] for x in rows], np.int64)
+    rest = np.stack([np.frombuffer(x, "<i2" if len(x) == short else wide, width - 1, 8) for x in rows]).astype(np.int64)
+    return np.concatenate([first[:, None], rest + first[:, None]], 1)
+
+
+def _packed_draws(draws: DataFrame, block: int) -> DataFrame:
+    """_blk, it, offs: the offsets in the block of an iteration's draws, packed, from draws (it, _row)."""
+    kind = np.dtype("<u2" if block <= 1 << 16 else "<u4")
+
+    def pack(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy().astype(np.int64) for k in (0, 1)])
+            n += batch.num_rows
+            if n >= PACKED_DRAWS:
+                yield from out(held)
+                held, n = [], 0
+        yield from out(held)
+
+    def out(held):
+        if not sum(len(h[0]) for h in held):
+            return
+        it, row = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((row, it))
+        it, row = it[order], row[order]
+        blk, off = row // block, (row % block).astype(kind)
+        first = np.flatnonzero(np.r_[True, (it[1:] != it[:-1]) | (blk[1:] != blk[:-1])])
+        for a in range(0, len(first), 10_000):
+            f = first[a:a + 10_000]
+            end = first[a + 10_000] if a + 10_000 < len(first) else len(it)
+            cut = np.append(f, end)
+            offs = pa.array([off[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(blk[f], pa.int32()), pa.array(it[f], pa.int32()), offs], names=["_blk", "it", "offs"])
+
+    return draws.mapInArrow(pack, "_blk int, it int, offs binary")
+
+
 def _multiplicities(rows: DataFrame, draws: DataFrame, iterations: int, block: int) -> DataFrame:
     """rows with ``w``: the packed multiplicities of each row, column 0 being 1."""
     kept = [c for c in rows.columns if c != "_rid"]
     width = iterations + 1
+    kind = np.dtype("<u2" if block <= 1 << 16 else "<u4")
 
     def count(drawn: pa.Table, mine: pa.Table) -> pa.Table:
         place = (mine["_rid"].to_numpy() - 1) % block
-        cell = drawn["off"].to_numpy().astype(np.int64) * width + drawn["it"].to_numpy() + 1
+        runs = drawn["offs"].to_pylist()
+        its = np.repeat(drawn["it"].to_numpy().astype(np.int64), [len(x) // kind.itemsize for x in runs])
+        cell = np.frombuffer(b"".join(runs), kind).astype(np.int64) * width + its + 1
         weights = np.bincount(cell, minlength=block * width).reshape(block, width)
-        if weights.max(initial=0) > np.iinfo(_COUNT).max:
+        most = weights.max(initial=0)
+        if most > np.iinfo(_COUNTS[1]).max:
             raise OverflowError("a row is drawn too often for a packed multiplicity")
         weights[:, 0] = 1
-        return mine.select(kept).append_column("w", _packed(weights.astype(_COUNT)[place]))
+        return mine.select(kept).append_column("w", _packed(weights.astype(_COUNTS[int(most > 255)])[place]))
 
-    left = draws.groupBy("_blk")
+    left = _packed_draws(draws, block).groupBy("_blk")
     right = rows.withColumn("_blk", F.floor((F.col("_rid") - 1) / F.lit(block)).cast("int")).groupBy("_blk")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
     return left.cogroup(right).applyInArrow(count, f"{schema}, w binary")
 
 
-def _block_offsets(blocked, c: str, block: int) -> DataFrame:
+def _block_offsets(blocked, c: str, block: int, width: int) -> DataFrame:
     """_blk, it, off, hs, he, ts, te: what a block of positions needs of the blocks beside it.
 
     off is the weight ahead of the block; (hs, he) are the weight ahead of the tie group that
@@ -91,10 +152,9 @@ def _block_offsets(blocked, c: str, block: int) -> DataFrame:
     def totals(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         blk = key[0].as_py()
         first, last = part[f"f{c}"].to_numpy(), part[f"l{c}"].to_numpy()
-        weights = _matrix(part["w"], _COUNT).astype(np.int64)
+        weights = _weights(part["w"], width)
         head = first < blk * block + 1
         tail = ~head & (last > (blk + 1) * block)
-        width = weights.shape[1]
 
         def across(rows):
             return pa.array([int(first[rows][0])] * width if rows.any() else [None] * width, pa.int64())
@@ -122,11 +182,11 @@ def _in_blocks(rows: DataFrame, c: str, block: int):
     return rows.withColumn("_blk", F.floor((F.col(f"p{c}") - 1) / F.lit(block)).cast("bigint")).groupBy("_blk")
 
 
-def _block_ranks(part: pa.Table, beside: pa.Table, c: str, block: int, n: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+def _block_ranks(part: pa.Table, beside: pa.Table, c: str, block: int, n: int, width: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """The block's rows by position, their weights, the weight ahead of each, and twice the distance of
     each tie-averaged position from the mean position."""
     part, beside = part.sort_by(f"p{c}"), beside.sort_by("it")
-    weights = _matrix(part["w"], _COUNT).astype(np.int64)
+    weights = _weights(part["w"], width)
     side = {k: np.nan_to_num(beside[k].to_numpy()).astype(np.int64) for k in ("off", "hs", "he", "ts", "te")}
     before = np.cumsum(weights, 0) - weights + side["off"]
     first, last, blk = part[f"f{c}"].to_numpy(), part[f"l{c}"].to_numpy(), part["_blk"][0].as_py()
@@ -142,28 +202,28 @@ def _block_ranks(part: pa.Table, beside: pa.Table, c: str, block: int, n: int) -
     return part, weights, before, np.repeat(distance, np.diff(np.r_[starts, len(first)]), 0)
 
 
-def _with_actual_ranks(rows: DataFrame, block: int, n: int) -> DataFrame:
+def _with_actual_ranks(rows: DataFrame, block: int, n: int, width: int) -> DataFrame:
     """rows with ``dy``, the packed distances of the actual value's ranks."""
     kept = ["y", "m", "b", "pm", "fm", "lm", "pb", "fb", "lb", "w"]
-    dtype = "<i4" if n < 2**31 else "<i8"
+    dtype = "<i4" if n < 2**29 else "<i8"
 
     def ranks(part: pa.Table, beside: pa.Table) -> pa.Table:
-        part, _, _, distance = _block_ranks(part, beside, "y", block, n)
-        return part.select(kept).append_column("dy", _packed(distance.astype(dtype)))
+        part, _, _, distance = _block_ranks(part, beside, "y", block, n, width)
+        return part.select(kept).append_column("dy", _packed_distances(distance, dtype))
 
     blocked = _in_blocks(rows, "y", block)
     schema = "y double, m double, b double, pm bigint, fm bigint, lm bigint, pb bigint, fb bigint, lb bigint, w binary, dy binary"
-    return blocked.cogroup(_block_offsets(blocked, "y", block).groupBy("_blk")).applyInArrow(ranks, schema)
+    return blocked.cogroup(_block_offsets(blocked, "y", block, width).groupBy("_blk")).applyInArrow(ranks, schema)
 
 
-def _score_sums(rows: DataFrame, c: str, block: int, n: int) -> DataFrame:
+def _score_sums(rows: DataFrame, c: str, block: int, n: int, width: int) -> DataFrame:
     """it and, summed over the rows, what the metrics of score ``c`` (best first) need."""
-    dtype = "<i4" if n < 2**31 else "<i8"
+    dtype = "<i4" if n < 2**29 else "<i8"
 
     def sums(part: pa.Table, beside: pa.Table) -> pa.Table:
-        part, weights, before, distance = _block_ranks(part, beside, c, block, n)
+        part, weights, before, distance = _block_ranks(part, beside, c, block, n, width)
         y, s = part["y"].to_numpy(), part[c].to_numpy()
-        dx, dy, w = -distance.astype(np.float64), _matrix(part["dy"], dtype).astype(np.float64), weights.astype(np.float64)
+        dx, dy, w = -distance.astype(np.float64), _distances(part["dy"], width, dtype).astype(np.float64), weights.astype(np.float64)
         out = {"it": pa.array(np.arange(-1, w.shape[1] - 1), pa.int32()),
                "sxy": np.einsum("ij,ij,ij->j", w, dx, dy), "sxx": np.einsum("ij,ij,ij->j", w, dx, dx),
                "syy": np.einsum("ij,ij,ij->j", w, dy, dy)}
@@ -178,7 +238,7 @@ def _score_sums(rows: DataFrame, c: str, block: int, n: int) -> DataFrame:
 
     blocked = _in_blocks(rows.select("y", c, f"p{c}", f"f{c}", f"l{c}", "w", "dy"), c, block)
     schema = "it int, " + ", ".join(f"{x} double" for x in [*_SUMS, *_RANGES])
-    parts = blocked.cogroup(_block_offsets(blocked, c, block).groupBy("_blk")).applyInArrow(sums, schema)
+    parts = blocked.cogroup(_block_offsets(blocked, c, block, width).groupBy("_blk")).applyInArrow(sums, schema)
     return parts.groupBy("it").agg(*[F.sum(x).alias(x) for x in _SUMS], F.min("ylo").alias("ylo"), F.max("yhi").alias("yhi"),
                                    F.min("slo").alias("slo"), F.max("shi").alias("shi"))
 
@@ -231,13 +291,12 @@ def paired_bootstrap(df: DataFrame, actual: str, model: str, baseline: str, key_
     drawn = F.pmod(_draw_hash(draw_hash, int(seed)), F.lit(n_rows))
     draws = (spark.range(0, total, numPartitions=parts)
              .select(F.expr(f"id div {n_rows}").alias("it"), (F.col("id") % F.lit(n_rows)).alias("draw"))
-             .select(F.col("it").cast("int").alias("it"), drawn.alias("_row"))
-             .select("it", F.expr(f"CAST(_row div {block} AS INT)").alias("_blk"), (F.col("_row") % block).cast("int").alias("off")))
+             .select(F.col("it").cast("int").alias("it"), drawn.alias("_row")))
     for c, descending in (("y", False), ("m", True), ("b", True)):       # the orders are those of the rows, whatever the resample
         rows = tie_spans(rows, c, keys, f"p{c}", f"f{c}", f"l{c}", descending)
     weighted = materialize(_multiplicities(rows.drop(*keys), draws, B, block), "weights")
-    ranked = materialize(_with_actual_ranks(weighted, block, n_rows), "ranked")
-    per_it = _metrics(_score_sums(ranked, "m", block, n_rows), "_m").join(_metrics(_score_sums(ranked, "b", block, n_rows), "_b"), "it")
+    ranked = materialize(_with_actual_ranks(weighted, block, n_rows, B + 1), "ranked")
+    per_it = _metrics(_score_sums(ranked, "m", block, n_rows, B + 1), "_m").join(_metrics(_score_sums(ranked, "b", block, n_rows, B + 1), "_b"), "it")
     pairs = (("wape_difference", "wape"), ("spearman_difference", "spearman"), ("top_10_capture_difference", "cap10"),
              ("top_20_capture_difference", "cap20"))
     long = materialize(per_it.select("it", F.explode(F.array(*[
