@@ -26,7 +26,7 @@ from .textnum import chunks
 
 SCALE, LEAST_DOCS, TOP = 1_000_000_000, 3, 200
 #: Bytes of text counted at once; rows of a partition of the skyband; sources in a block; rows in a shard; terms of a unit at once.
-CHUNK, PART, SOURCES, SHARD, SLICE = 4 << 20, 4096, 64, 50_000, 512
+CHUNK, PART, SOURCES, SHARD, SLICE = 2 << 20, 4096, 64, 50_000, 512
 
 # Bytes of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``, and A-Z lower-cased.
 LETTER = np.ones(256, bool)
@@ -44,7 +44,7 @@ def terms(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray, np.n
     new[edge] = inside[edge]
     start = np.flatnonzero(new)
     body = LOWER[data[inside]]
-    place = np.cumsum(inside)[start] - 1 if len(start) else start
+    place = np.cumsum(inside, dtype=np.int32)[start] - 1 if len(start) else start
     cut = np.append(place, len(body)).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cut), pa.py_buffer(body)]).dictionary_encode()
     return words.dictionary, words.indices.to_numpy().astype(np.int64), np.searchsorted(off, start, "right") - 1
