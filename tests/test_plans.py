@@ -67,3 +67,29 @@ def test_bootstrap_order_moves_rows_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     carrying = [x for x in plan.splitlines() if "FileScan" in x]
     assert len(carrying) == 1 and "ReusedExchange" in plan
+
+
+def test_order_lines_are_sorted_once_for_their_order(spark):
+    """Lines go to their order before they are summed: one sort by the order, none before the exchange."""
+    plan = C.fx_orders(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[l_orderkey#\d+L? ASC", plan)) == 1
+
+
+def test_scores_read_the_lines_once_and_are_written_once(spark, monkeypatch):
+    """Acquisition dates and windows share one pass over the lines; the test frame is a scan of the stored scores."""
+    from valuelens.plans import q_scoring as q
+    written = {}
+
+    def noted(df, label="stage"):
+        written[label] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, label)
+
+    kept = q.materialize
+    monkeypatch.setattr(q, "materialize", noted)
+    test = q.scored_test(spark, SF)
+    assert list(written) == ["orders", "scores-margin"]
+    scans = [x for text in written.values() for x in text.splitlines() if "FileScan" in x and "lineitem.parquet" in x]
+    assert len(scans) == 1 and "lineitem.parquet" in written["orders"]
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert {"clv_lower_80", "clv_upper_80"} <= set(test.columns) and test.count() > 0

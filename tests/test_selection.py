@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from valuelens.operators import conformal, evaluation as ev, policy as pol
+from valuelens.operators import selection
 from valuelens.operators.selection import find_cuts
 
 VALUES = [0.0, -0.0, 1.5, -2.25, 1e300, -1e-300, float("inf"), float("-inf"), 0.1, 3.0]
@@ -70,6 +71,26 @@ def test_one_hot_value_and_a_typed_key(spark):
     assert sizes == {0: 750, 1: 750, 2: 1500}
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_rows_of_few_bins_are_told_by_the_bins_ends(spark, descending):
+    """As ``place`` tells them, in every bin and for nulls, NaN, zeros and texts; no search in the plan."""
+    rows = [(None, "a"), (float("nan"), "b"), (-0.0, "c"), (0.0, None), (1.5, "d'\\é"), (1.5, "e"), (float("inf"), "f"), (-3.0, "g")]
+    df = spark.createDataFrame(rows * 2, "v double, k string")
+    sort = selection._sort_columns("v", ["k"], descending)
+    parts = df.select(*[c.alias(f"c{i}") for i, c in enumerate(sort)])
+    types, row = [f.dataType.simpleString() for f in parts.schema.fields], F.struct(*parts.columns)
+    texts = [F.col(c).cast("string").alias(c) for c in parts.columns]
+    drawn = [tuple(r) for r in parts.distinct().orderBy(*parts.columns).select(*texts).collect()]
+    pivots = [drawn[i] for i in (1, 3, 6)]
+    upto = selection._at_most(selection._literal(pivots, types), len(pivots), row)
+    on = F.coalesce(F.get(selection._literal(pivots, types), upto - 1) == row, F.lit(False))
+    place = F.when(on, 2 * upto - 1).otherwise(2 * upto)
+    for bins in ([0], [2], [4], [6], [0, 4], [0, 2, 4, 6]):
+        told = parts.where(selection._between(bins, pivots, types, row))
+        assert sorted(map(str, told.collect())) == sorted(map(str, parts.where(place.isin(bins)).collect()))
+        assert "aggregate(" not in told._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cut_point_operators_move_no_rows(spark):
     """No range exchange and no join in the plans of deciles, tiers, capture and curve."""
     df = spark.range(0, 200).select(F.col("id").alias("k"), (F.col("id") % 17).cast("double").alias("p"),

@@ -8,7 +8,7 @@ from ..operators import conformal, evaluation as ev, policy as pol
 from ..operators import snapshots_margin as sm
 from ..operators import snapshots_revenue as sr
 from ..operators.scoring import MARGIN_NAMES, REVENUE_NAMES, closed_form_scores
-from ..session import materialize
+from ..session import drop_materialized, materialize
 from . import sql_fixtures as S
 from . import sql_scoring as Q
 from .common import (
@@ -19,9 +19,10 @@ from .common import (
 KEYS = ["customer_id", "snapshot_date"]
 
 
-def _snapshots(spark, sf, path, dates):
+def _snapshots(spark, sf, path, dates, orders=None):
     if path == "margin":
-        return sm.margin_snapshots(fx_customers(spark, sf, fx_orders(spark, sf)), fx_orders(spark, sf), dates,
+        orders = orders if orders is not None else fx_orders(spark, sf)
+        return sm.margin_snapshots(fx_customers(spark, sf, orders), orders, dates,
                                    LOOKBACK_DAYS, HORIZON_DAYS, DISCOUNT_RATE)
     return sr.revenue_snapshots(fx_transactions(spark, sf), dates, LOOKBACK_DAYS, HORIZON_DAYS)
 
@@ -39,8 +40,15 @@ def scored_env(spark, sf, path="margin"):
 
     Written once under the shared checkpoint folder: conformal calibration, the
     test frame and every metric read it instead of re-running the snapshot plan.
+    The margin path's orders are written too, until then: acquisition dates and windows
+    both read them, and lines meet their parts once.
     """
-    return materialize(closed_form_scores(_snapshots(spark, sf, path, list(_dates(path))), path), f"scores-{path}")
+    orders = materialize(fx_orders(spark, sf).drop("order_channel"), "orders") if path == "margin" else None
+    env = materialize(closed_form_scores(_snapshots(spark, sf, path, list(_dates(path)), orders), path),
+                      f"scores-{path}")
+    if orders is not None:
+        drop_materialized(orders)
+    return env
 
 
 def correction_frame(spark, sf, path="margin", env=None):
@@ -52,15 +60,16 @@ def correction_frame(spark, sf, path="margin", env=None):
 
 
 def scored_test(spark, sf, path="margin"):
-    """Test-date frame with raw and calibrated intervals."""
+    """Test-date frame with raw and calibrated intervals.
+
+    Nothing is written a second time: the stored scores, with the correction as a number.
+    """
     n = _names(path)
     env = scored_env(spark, sf, path)
-    corr = correction_frame(spark, sf, path, env).select("correction")
+    corr = F.lit(correction_frame(spark, sf, path, env).select("correction").first()[0]).cast("double")
     test = env.filter(F.col("snapshot_date") == F.lit(_dates(path)[1]).cast("date"))
-    lo, hi = conformal.apply_correction(F.col(n["pred"]), F.col(n["lower_raw"]), F.col(n["upper_raw"]),
-                                        F.col("correction"))
-    return materialize(test.crossJoin(F.broadcast(corr)).withColumn(n["lower"], lo).withColumn(n["upper"], hi)
-                       .drop("correction"), f"test-{path}")
+    lo, hi = conformal.apply_correction(F.col(n["pred"]), F.col(n["lower_raw"]), F.col(n["upper_raw"]), corr)
+    return test.withColumn(n["lower"], lo).withColumn(n["upper"], hi)
 
 
 # ---------------------------------------------------------------- queries
