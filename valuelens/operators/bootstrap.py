@@ -202,8 +202,12 @@ def _block_ranks(part: pa.Table, beside: pa.Table, c: str, block: int, n: int, w
     return part, weights, before, np.repeat(distance, np.diff(np.r_[starts, len(first)]), 0)
 
 
-def _with_actual_ranks(rows: DataFrame, block: int, n: int, width: int) -> DataFrame:
-    """rows with ``dy``, the packed distances of the actual value's ranks."""
+def _with_actual_ranks(rows: DataFrame, block: int, n: int, width: int | None = None) -> DataFrame:
+    """rows with ``dy``, the packed distances of the actual value's ranks.
+
+    Without ``width``, the weights of the shortest ``w`` have one byte each.
+    """
+    width = rows.agg(F.min(F.length("w"))).first()[0] if width is None else width
     kept = ["y", "m", "b", "pm", "fm", "lm", "pb", "fb", "lb", "w"]
     dtype = "<i4" if n < 2**29 else "<i8"
 
