@@ -95,3 +95,29 @@ def test_draws_and_ranks_move_packed(spark):
     assert (bs._distances(pa.chunked_array([packed]), 3, "<i4") == far).all()
     w = pa.chunked_array([pa.array([np.array([1, 300], "<u2").tobytes()])]), pa.chunked_array([pa.array([bytes([1, 255])])])
     assert [bs._weights(x, 2).tolist() for x in w] == [[[1, 300]], [[1, 255]]]
+
+
+def test_what_the_bootstrap_moves_is_squeezed(spark):
+    """Multiplicities take a few bits each, a run's offsets half a byte, distances less than two bytes; all come back as they were."""
+    rng = np.random.default_rng(2)
+    n, b, block = 400, 600, 100
+    picked = rng.integers(0, n, (b, n))
+    draws = spark.createDataFrame(pd.DataFrame({"it": np.repeat(np.arange(b), n).astype(np.int32), "_row": picked.ravel()})).repartition(2)
+    rows = spark.range(1, n + 1).selectExpr("id AS _rid", "CAST(id AS DOUBLE) AS y")
+    got = bs._multiplicities(rows, draws, b, block).orderBy("y").toArrow()
+    want = np.stack([np.bincount(x, minlength=n) for x in picked], 1)
+    weights = bs._weights(got["w"], b + 1)
+    assert (weights[:, 0] == 1).all() and (weights[:, 1:] == want).all()
+    assert np.mean([len(x) for x in got["w"].to_pylist()]) < 0.45 * (b + 1)
+    runs = bs._packed_draws(draws, 1000, squeezed=True).collect()
+    assert sum(len(r["offs"]) for r in runs) < 0.8 * n * b and sorted(x for r in runs for x in bs._whole_run(r["offs"])) == sorted(picked.ravel())
+    assert bs._whole_run(bs._squeezed_run(np.array([0, 70_000, 70_000], "<u4"))).tolist() == [0, 70_000, 70_000]
+    far = np.concatenate([np.full((50, 1), 2**33), 2**33 + (rng.normal(size=(50, b)) * 1000).astype(np.int64)], 1)
+    far[0, 5] = 2**33 + 40_000
+    cells = bs._squeezed_distances(bs._packed_distances(far, "<i4"), b + 1)
+    assert (bs._distances(pa.chunked_array([cells]), b + 1, "<i4") == far).all()
+    assert len(cells[0].as_py()) == 8 + 4 * b and max(len(x.as_py()) for x in cells[1:]) < 8 + 1.85 * b
+    often = np.ones((2, b + 1), "<u2")
+    often[1, 3] = 300
+    cells = bs._squeezed([often[0].astype("u1").tobytes(), often[1].tobytes()], b + 1)
+    assert (bs._weights(pa.chunked_array([cells]), b + 1) == often).all()

@@ -21,7 +21,8 @@ for each iteration.  Per order, one exchange serves both the blocks' totals and
 Positions and tie groups are those of the rows and are found once; a table of (iteration,
 block) holds the weight ahead of each block and the tie groups that cross its borders, so
 neither an iteration nor a value that half of the rows share has to fit in one task.  A
-block holds at most ``BLOCK_CELLS`` multiplicities.
+block holds at most ``BLOCK_CELLS`` multiplicities.  What moves is squeezed (zstd): multiplicities,
+the gaps between the offsets of a run, and the upper bytes of the ranks' distances take a few bits each.
 """
 
 from __future__ import annotations
@@ -55,20 +56,27 @@ def _draw_hash(kind: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "it", "draw")
 
 
-def _packed(matrix: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in matrix], pa.binary())
+def _squeezed(cells: list[bytes], width: int) -> pa.Array:
+    """Cells of numbers of one or more bytes each, ``width`` of them; squeezed, after the bytes of a number, where that takes less than a byte each."""
+    zstd, out = pa.Codec("zstd", compression_level=1), []
+    for x in cells:
+        z = bytes([len(x) // width]) + zstd.compress(x, asbytes=True)
+        out.append(z if len(z) < width else x)
+    return pa.array(out, pa.binary())
 
 
-def _matrix(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+def _whole(column: pa.ChunkedArray, width: int) -> list[bytes]:
+    """The cells of ``_squeezed``."""
+    zstd = pa.Codec("zstd")
+    return [x if len(x) >= width else zstd.decompress(x[1:], x[0] * width, asbytes=True) for x in column.to_pylist()]
 
 
 def _weights(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Multiplicities, one byte each or two where a row of the block is drawn more than 255 times."""
-    sizes = np.array([len(x) for x in column.to_pylist()])
-    if (sizes == width).all():
-        return _matrix(column, _COUNTS[0]).astype(np.int64)
-    return np.stack([np.frombuffer(x, _COUNTS[int(len(x) > width)]) for x in column.to_pylist()]).astype(np.int64)
+    cells = _whole(column, width)
+    if all(len(x) == width for x in cells):
+        return np.frombuffer(b"".join(cells), _COUNTS[0]).reshape(len(cells), -1).astype(np.int64)
+    return np.stack([np.frombuffer(x, _COUNTS[int(len(x) > width)]) for x in cells]).astype(np.int64)
 
 
 def _packed_distances(distance: np.ndarray, wide: str) -> pa.Array:
@@ -78,16 +86,49 @@ def _packed_distances(distance: np.ndarray, wide: str) -> pa.Array:
     return pa.array([a.astype("<i8").tobytes() + r.astype("<i2" if f else wide).tobytes() for a, r, f in zip(first, rest, fits, strict=True)], pa.binary())
 
 
+def _squeezed_distances(column: pa.Array, width: int) -> pa.Array:
+    """Distances of two bytes each with all lower bytes first and the upper ones squeezed, where that is shorter."""
+    short, zstd, out = 8 + 2 * (width - 1), pa.Codec("zstd", compression_level=1), []
+    for x in column.to_pylist():
+        if len(x) == short:
+            low, up = np.frombuffer(x, np.uint8, offset=8).reshape(-1, 2).T
+            z = x[:8] + low.tobytes() + zstd.compress(up.tobytes(), asbytes=True)
+            x = z if len(z) < short else x
+        out.append(x)
+    return pa.array(out, pa.binary())
+
+
+def _whole_distance(x: bytes, width: int, zstd: pa.Codec) -> bytes:
+    if len(x) >= 8 + 2 * (width - 1):
+        return x
+    both = np.empty((width - 1, 2), np.uint8)
+    both[:, 0] = np.frombuffer(x, np.uint8, width - 1, 8)
+    both[:, 1] = np.frombuffer(zstd.decompress(x[7 + width:], width - 1, asbytes=True), np.uint8)
+    return x[:8] + both.tobytes()
+
+
 def _distances(column: pa.ChunkedArray, width: int, wide: str) -> np.ndarray:
-    short = 8 + 2 * (width - 1)
-    rows = column.to_pylist()
+    short, zstd = 8 + 2 * (width - 1), pa.Codec("zstd")
+    rows = [_whole_distance(x, width, zstd) for x in column.to_pylist()]
     first = np.array([np.frombuffer(x, "<i8", 1)[0] for x in rows], np.int64)
     rest = np.stack([np.frombuffer(x, "<i2" if len(x) == short else wide, width - 1, 8) for x in rows]).astype(np.int64)
     return np.concatenate([first[:, None], rest + first[:, None]], 1)
 
 
-def _packed_draws(draws: DataFrame, block: int) -> DataFrame:
-    """_blk, it, offs: the offsets in the block of an iteration's draws, packed, from draws (it, _row)."""
+def _squeezed_run(offsets: np.ndarray) -> bytes:
+    """Ascending offsets as squeezed gaps, after their number and the bytes of a gap."""
+    gaps = np.diff(offsets, prepend=offsets.dtype.type(0))
+    size = 1 if gaps.max() <= 255 else offsets.itemsize
+    return np.array([len(gaps), size], "<u4").tobytes() + pa.Codec("zstd", compression_level=1).compress(gaps.astype(f"<u{size}").tobytes(), asbytes=True)
+
+
+def _whole_run(x: bytes) -> np.ndarray:
+    n, size = np.frombuffer(x, "<u4", 2).tolist()
+    return np.frombuffer(pa.Codec("zstd").decompress(x[8:], n * size, asbytes=True), f"<u{size}").cumsum(dtype=np.int64)
+
+
+def _packed_draws(draws: DataFrame, block: int, squeezed: bool = False) -> DataFrame:
+    """_blk, it, offs: the offsets in the block of an iteration's draws, ascending and packed, from draws (it, _row)."""
     kind = np.dtype("<u2" if block <= 1 << 16 else "<u4")
 
     def pack(batches):
@@ -104,15 +145,15 @@ def _packed_draws(draws: DataFrame, block: int) -> DataFrame:
         if not sum(len(h[0]) for h in held):
             return
         it, row = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((row, it))
-        it, row = it[order], row[order]
+        end = int(row.max()) + 1
+        it, row = np.divmod(np.sort(it * end + row), end)
         blk, off = row // block, (row % block).astype(kind)
         first = np.flatnonzero(np.r_[True, (it[1:] != it[:-1]) | (blk[1:] != blk[:-1])])
         for a in range(0, len(first), 10_000):
             f = first[a:a + 10_000]
-            end = first[a + 10_000] if a + 10_000 < len(first) else len(it)
-            cut = np.append(f, end)
-            offs = pa.array([off[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            cut = np.append(f, first[a + 10_000] if a + 10_000 < len(first) else len(it))
+            runs = [off[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            offs = pa.array([_squeezed_run(x) if squeezed else x.tobytes() for x in runs], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(blk[f], pa.int32()), pa.array(it[f], pa.int32()), offs], names=["_blk", "it", "offs"])
 
     return draws.mapInArrow(pack, "_blk int, it int, offs binary")
@@ -122,21 +163,19 @@ def _multiplicities(rows: DataFrame, draws: DataFrame, iterations: int, block: i
     """rows with ``w``: the packed multiplicities of each row, column 0 being 1."""
     kept = [c for c in rows.columns if c != "_rid"]
     width = iterations + 1
-    kind = np.dtype("<u2" if block <= 1 << 16 else "<u4")
 
     def count(drawn: pa.Table, mine: pa.Table) -> pa.Table:
         place = (mine["_rid"].to_numpy() - 1) % block
-        runs = drawn["offs"].to_pylist()
-        its = np.repeat(drawn["it"].to_numpy().astype(np.int64), [len(x) // kind.itemsize for x in runs])
-        cell = np.frombuffer(b"".join(runs), kind).astype(np.int64) * width + its + 1
-        weights = np.bincount(cell, minlength=block * width).reshape(block, width)
+        weights = np.zeros((block, width), np.int64)
+        for it, x in zip(drawn["it"].to_pylist(), drawn["offs"].to_pylist(), strict=True):
+            np.add.at(weights[:, it + 1], _whole_run(x), 1)
         most = weights.max(initial=0)
         if most > np.iinfo(_COUNTS[1]).max:
             raise OverflowError("a row is drawn too often for a packed multiplicity")
         weights[:, 0] = 1
-        return mine.select(kept).append_column("w", _packed(weights.astype(_COUNTS[int(most > 255)])[place]))
+        return mine.select(kept).append_column("w", _squeezed([x.tobytes() for x in weights.astype(_COUNTS[int(most > 255)])[place]], width))
 
-    left = _packed_draws(draws, block).groupBy("_blk")
+    left = _packed_draws(draws, block, squeezed=True).groupBy("_blk")
     right = rows.withColumn("_blk", F.floor((F.col("_rid") - 1) / F.lit(block)).cast("int")).groupBy("_blk")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
     return left.cogroup(right).applyInArrow(count, f"{schema}, w binary")
@@ -213,7 +252,7 @@ def _with_actual_ranks(rows: DataFrame, block: int, n: int, width: int | None =
 
     def ranks(part: pa.Table, beside: pa.Table) -> pa.Table:
         part, _, _, distance = _block_ranks(part, beside, "y", block, n, width)
-        return part.select(kept).append_column("dy", _packed_distances(distance, dtype))
+        return part.select(kept).append_column("dy", _squeezed_distances(_packed_distances(distance, dtype), width))
 
     blocked = _in_blocks(rows, "y", block)
     schema = "y double, m double, b double, pm bigint, fm bigint, lm bigint, pb bigint, fb bigint, lb bigint, w binary, dy binary"
